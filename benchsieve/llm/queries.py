@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from benchsieve.llm import truncation
+from benchsieve.llm import markup, truncation
 from benchsieve.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +23,23 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(rows, "response_id", "candidate", "model", read(spark, d, "truncation_16k"))
 
 
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    """The two fields of problem 3 with their record keys."""
+    answers = read(spark, d, "problems_cc_by").select(F.lit("answer").alias("field_name"), F.col("problem_id").alias("record_key"), F.col("answer").alias("value"))
+    candidates = read(spark, d, "cleaned_jsonl").select(F.lit("candidate").alias("field_name"), F.col("response_id").cast("string").alias("record_key"), F.col("candidate").alias("value"))
+    return spread(answers).unionByName(spread(candidates))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_markup(_fields(spark, d), ["field_name", "record_key"], "value").where("has_markup").select("field_name", "record_key").distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_markup(_fields(spark, d), ["field_name", "record_key"], "value")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_clean": p3_clean}
 
 
 def oracle_sql() -> dict[str, str]:
