@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchsieve.llm import markup, truncation
+from benchsieve.llm import markup, pairs, truncation
 from benchsieve.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +38,21 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(_fields(spark, d), ["field_name", "record_key"], "value")
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    asked = pairs.questions_of(read(spark, d, "problems_cc_by"), read(spark, d, "external_items"))
+    return pairs.mark_pairs(spread(read(spark, d, "cleaned_jsonl")), asked)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).where("defect is not null").select("response_id", "defect")
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).where("defect is not null")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_clean": p3_clean}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_pairs": p5_pairs}
 
 
 def oracle_sql() -> dict[str, str]:
