@@ -1,0 +1,211 @@
+"""Canonical words of a text: one integer per word, with typed placeholders.
+
+A formula (delimited or not) is one word whatever its notation; numbers, units
+and identifiers become placeholders; case, punctuation, tags and other markup
+signs do not count. Han signs are words of their own.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterable
+from itertools import chain
+
+import numpy as np
+
+FORMULA, NUMBER, UNIT, NAME = 0, 1, 2, 3
+FIRST_WORD = 4
+#: Words that are not in the vocabulary: content words, and small ones.
+UNKNOWN, SMALL = -1, -2
+
+CHUNK = re.compile(
+    r"\$\$[^$]{1,600}\$\$|\$[^$]{1,300}\$|\\\(.{1,300}?\\\)|\\\[.{1,300}?\\\]|</?[A-Za-z!][^<>]{0,200}>|&[A-Za-z#0-9]{1,10};|[㐀-鿿]|[^\s㐀-鿿<$&]+|[<$&]"
+)
+_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_MATHY = re.compile(r"[\\^=_Ͱ-Ͽ∀-⋿⁰-₟]")
+_NUMBER = re.compile(r"[\d.,:/+\-−%]*\d[\d.,:/+\-−%]*")
+_INNER = re.compile(r"[^\w]+")
+#: Units of measure, fixed values.
+UNITS = frozenset("hz khz mhz ghz thz db dbm dbi mw w kw ms us ns s m km cm mm bits bit bps kbps mbps gbps symbols slots users".split())
+#: Frequent function words of four letters or more, fixed values.
+FUNCTION = frozenset(
+    "about after also although because been before being below between both came does doing down during each even every from further given have having here hence "
+    "into itself just like made make many more most much must near once only other otherwise over same should since some such than that their them then there "
+    "therefore these they this those through thus under until upon very were what when where whether which while whose will with within without would your "
+    "aber auch auf als bei dass dem den der des die durch eine einem einen einer eines für ist mit nach nicht noch oder sich sind sowie über und unter von vor wird zwischen "
+    "alors ainsi avec cette comme dans donc entre leur mais même nous par pas plus pour que qui sans sont sous sur tout une vers "
+    "como cuando cuyo desde donde entre esta este hasta las los mientras muy para pero porque que sea según sin sobre son una y".split()
+)
+
+
+def canonical(chunk: str) -> str | int | None:
+    """The word of a chunk, a placeholder's number, or None for signs and tags."""
+    c = chunk[0]
+    if c == "$" and len(chunk) > 1 or chunk.startswith(("\\(", "\\[")):
+        return FORMULA
+    if c == "<" or c == "&":
+        return None
+    s = unicodedata.normalize("NFKC", chunk).lower()
+    bare = _EDGE.sub("", s)
+    if "\\" in s and not re.match(r"\\(?:text|emph|sec|sub|par|item|begin|end|foot|cite|label|ref)", s) or _MATHY.search(bare):
+        return FORMULA
+    if not bare:
+        return None
+    if _NUMBER.fullmatch(bare):
+        return NUMBER
+    if bare in UNITS:
+        return UNIT
+    if "\\" in s:
+        s = re.sub(r"\\[a-z]+\*?|[{}\[\]]", " ", s)
+        bare = _EDGE.sub("", s)
+    bare = _INNER.sub("", bare)
+    if not bare:
+        return None
+    if len(bare) == 1 and bare.isascii() and bare not in "ai" or (len(bare) <= 3 and any(x.isdigit() for x in bare)):
+        return NAME
+    return bare
+
+
+def is_content(word: str) -> bool:
+    return len(word) >= 4 and word not in FUNCTION or "㐀" <= word[0] <= "鿿"
+
+
+class Words(dict):
+    """Chunk to tuple of word numbers; fills itself, and is emptied when large.
+
+    With ``grow`` new words get numbers; else they are UNKNOWN or SMALL.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], grow: bool, most: int = 400_000) -> None:
+        super().__init__()
+        self.vocabulary, self.grow, self.most = vocabulary, grow, most
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        w = canonical(chunk)
+        if w is None:
+            out: tuple[int, ...] = ()
+        elif isinstance(w, int):
+            out = (w,)
+        elif self.grow:
+            out = (self.vocabulary.setdefault(w, len(self.vocabulary) + FIRST_WORD),)
+        else:
+            n = self.vocabulary.get(w)
+            out = (n,) if n is not None else (UNKNOWN if is_content(w) else SMALL,)
+        if len(self) >= self.most:
+            self.clear()
+        self[chunk] = out
+        return out
+
+    def read(self, text: str | None) -> np.ndarray:
+        """The word numbers of ``text``; a run of formulas is one."""
+        if not text:
+            return np.zeros(0, dtype=np.int64)
+        ids = np.fromiter(chain.from_iterable(map(self.__getitem__, CHUNK.findall(text))), dtype=np.int64)
+        if len(ids) > 1:
+            keep = np.ones(len(ids), dtype=bool)
+            keep[1:] = (ids[1:] != FORMULA) | (ids[:-1] != FORMULA)
+            ids = ids[keep]
+        return ids
+
+
+#: Numbers of words fit in as many bits, so that three of them make one exact key.
+WORD_BITS = 21
+
+
+#: A key of Han text covers so many signs.
+HAN_RUN = 8
+
+
+def shingles(content: np.ndarray, han: np.ndarray | None = None) -> np.ndarray:
+    """Keys of three content words in a row; -1 where one of them is unknown.
+
+    ``han`` marks single Han signs: three of those say little, so a key that
+    starts in a run of them covers ``HAN_RUN`` signs.
+    """
+    n = len(content)
+    if n < 3:
+        return np.zeros(0, dtype=np.int64)
+    a, b, c = content[:-2], content[1:-1], content[2:]
+    key = np.where((a < 0) | (b < 0) | (c < 0), -1, (a << (2 * WORD_BITS)) | (b << WORD_BITS) | c)
+    if han is not None and han.any():
+        h = np.concatenate(([0], np.cumsum(han)))
+        key[(h[3:] - h[:-3]) == 3] = -1
+        if n >= HAN_RUN:
+            whole = np.flatnonzero((h[HAN_RUN:] - h[:-HAN_RUN]) == HAN_RUN)
+            mixed = np.zeros(len(whole), dtype=np.uint64)
+            for j in range(HAN_RUN):
+                mixed = mixed * np.uint64(1000003) + content[whole + j].astype(np.uint64)
+            mixed ^= mixed >> np.uint64(29)
+            key[whole] = (mixed & np.uint64((1 << 62) - 1)).astype(np.int64) | (1 << 62)
+    return key
+
+
+class ShingleIndex:
+    """Anchors of a bounded block of texts, for scanning other texts.
+
+    Every shingle that at most ``common`` texts share is an anchor; of those
+    shared by more, the rarest of each six in a row stays one too, so that no
+    stretch of any text is left without anchors.
+    """
+
+    def __init__(self, keys: list[str], texts: Iterable[str | None], common: int = 64) -> None:
+        self.keys = keys
+        self.vocabulary: dict[str, int] = {}
+        words = Words(self.vocabulary, grow=True)
+        self.words = [words.read(t).astype(np.int32) for t in texts]
+        if len(self.vocabulary) + FIRST_WORD >= 1 << WORD_BITS:
+            raise ValueError("a block holds too many different words; use more blocks")
+        self.content = np.zeros(len(self.vocabulary) + FIRST_WORD, dtype=bool)
+        self.han = np.zeros(len(self.vocabulary) + FIRST_WORD, dtype=bool)
+        for w, n in self.vocabulary.items():
+            self.content[n] = is_content(w)
+            self.han[n] = len(w) == 1 and "㐀" <= w <= "鿿"
+        keyed: list[np.ndarray] = []
+        for w in self.words:
+            c = w[self.content[w]].astype(np.int64)
+            keyed.append(shingles(c, self.han[c]))
+        lens = np.array([len(k) for k in keyed], dtype=np.int64)
+        key = np.concatenate(keyed) if keyed else np.zeros(0, dtype=np.int64)
+        text = np.repeat(np.arange(len(keyed)), lens)
+        place = np.concatenate([np.arange(n) for n in lens]) if len(lens) else np.zeros(0, dtype=np.int64)
+        if len(key):
+            _, back, share = np.unique(key, return_inverse=True, return_counts=True)
+            share = share[back]
+            keep = (share <= common) & (key >= 0)
+            at = 0
+            for n in lens[lens > 0]:
+                s = np.where(key[at : at + n] >= 0, share[at : at + n], len(key) + 1)
+                if not keep[at : at + n].all():
+                    for i in range(0, int(n), 6):
+                        j = i + int(s[i : i + 6].argmin())
+                        keep[at + j] = key[at + j] >= 0
+                at += n
+            key, text, place = key[keep], text[keep], place[keep]
+        order = np.argsort(key, kind="stable")
+        self.key, self.text, self.place = key[order], text[order].astype(np.int32), place[order].astype(np.int32)
+
+    def reader(self) -> Words:
+        return Words(self.vocabulary, grow=False)
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors in the word numbers ``ids``: text, place in it, place in the content words; and the content words' places in ``ids``."""
+        content = (ids == UNKNOWN) | ((ids >= FIRST_WORD) & self.content[np.maximum(ids, 0)])
+        where = np.flatnonzero(content)
+        got = ids[where]
+        k = shingles(got, (got >= FIRST_WORD) & self.han[np.maximum(got, 0)])
+        at = np.flatnonzero(k >= 0)
+        none = np.zeros(0, dtype=np.int64)
+        if not len(at) or not len(self.key):
+            return none, none, none, where
+        k = k[at]
+        lo = np.searchsorted(self.key, k, "left")
+        hi = np.searchsorted(self.key, k, "right")
+        n = hi - lo
+        some = n > 0
+        at, lo, n = at[some], lo[some], n[some]
+        total = int(n.sum())
+        if not total:
+            return none, none, none, where
+        rows = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
+        return self.text[rows].astype(np.int64), self.place[rows].astype(np.int64), np.repeat(at, n), where

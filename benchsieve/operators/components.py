@@ -1,0 +1,79 @@
+"""Connected components by concurrent breadth-first search from many seeds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from benchsieve.session import stage_table
+
+#: A node with more neighbours than this is split into hubs of about this size.
+HUB = 10_000
+
+
+def split_hubs(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """``edges`` (a, b) in which no ``b`` has many more than ``hub`` neighbours ``a``.
+
+    A larger ``b`` stands behind sub-nodes, dealt by hash, that link to it; what
+    is connected stays the same and no adjacency list becomes one huge group.
+    """
+    big = edges.groupBy("b").count().where(F.col("count") > hub).select("b", F.ceil(F.col("count") / hub).alias("parts"))
+    e = edges.join(big, "b", "left")
+    sub = F.concat_ws("#", "b", F.pmod(F.xxhash64("a"), "parts").cast("string"))
+    near = e.select("a", F.when(F.col("parts").isNull(), F.col("b")).otherwise(sub).alias("b"))
+    return near.unionByName(e.where("parts is not null").select(sub.alias("a"), "b").distinct())
+
+
+def _one_level(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seed label of each node, and the pairs of seeds whose searches met.
+
+    A node is a seed if its hash is below that of all its neighbours: from any
+    node, smaller hashes lead down to a seed, so every node is reached and the
+    searches stay short. All frontiers move one step a round.
+    """
+    h = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+    seeds = adjacency.groupBy("src").agg(F.min(h("dst")).alias("least")).where(F.col("least") > h("src")).select(F.col("src").alias("node"), F.col("src").alias("label"))
+    visited = frontier = stage_table(seeds, "seeds")
+    met: list[DataFrame] = []
+    while True:
+        reached = frontier.join(adjacency, frontier["node"] == adjacency["src"]).select(F.col("dst").alias("node"), "label").distinct()
+        old = visited.select("node", F.col("label").alias("had"))
+        step = reached.join(old, "node", "left").groupBy("node").agg(F.max("had").alias("had"), F.min("label").alias("low"), F.collect_set("label").alias("labels"))
+        step = stage_table(step.withColumn("keep", F.coalesce("had", "low")), "frontier")
+        met.append(step.select(F.col("keep").alias("src"), F.explode("labels").alias("dst")).where("src <> dst"))
+        frontier = step.where("had is null").select("node", F.col("keep").alias("label"))
+        if frontier.isEmpty():
+            break
+        visited = stage_table(visited.unionByName(frontier), "visited")
+    pairs = met[0]
+    for m in met[1:]:
+        pairs = pairs.unionByName(m)
+    return visited, pairs
+
+
+def _symmetric(pairs: DataFrame) -> DataFrame:
+    both = pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return both.where("src <> dst").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component`` for every node of ``edges`` (a, b).
+
+    Each level searches from many seeds and leaves a much smaller graph of the
+    seeds whose searches met, which is solved the same way until none meet.
+    Loops, repeated and null edges are ignored; no edges give no rows. Every
+    level is written to the shared folder; nothing is sent to the driver.
+    """
+    graph = stage_table(_symmetric(edges.where("a is not null and b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst"))).repartition("src"), "adjacency")
+    levels: list[DataFrame] = []
+    while not graph.isEmpty():
+        labels, met = _one_level(graph)
+        levels.append(labels)
+        graph = stage_table(_symmetric(met), "met")
+    if not levels:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    out = levels[0].select("node", F.col("label").alias("component"))
+    for lvl in levels[1:]:
+        up = lvl.select(F.col("node").alias("component"), F.col("label").alias("up"))
+        out = out.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return stage_table(out, "components")

@@ -1,0 +1,130 @@
+"""Problem 6: the same or nearly the same record in several splits.
+
+The content-word n-grams of the evaluation records (three content words in a
+row, which span five running words and more) are hashed and broadcast in
+bounded blocks; the training records are scanned for hits, and for each pair
+with hits the containment of either question in the whole other record decides.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from benchsieve.functions.words import FIRST_WORD, UNKNOWN, ShingleIndex, Words
+from benchsieve.operators.overlap import broadcast_index, query_blocks
+
+EVALUATION = ("test", "validation")
+
+
+def _bag(ids: np.ndarray, index: ShingleIndex) -> Counter:
+    """Content words with their numbers; Han signs in pairs."""
+    got = np.where(ids >= FIRST_WORD, ids, 0)
+    content = ids[((ids >= FIRST_WORD) & index.content[got]) | (ids == UNKNOWN)].astype(np.int64)
+    han = (content >= FIRST_WORD) & index.han[np.maximum(content, 0)]
+    bag = Counter(content[~han].tolist())
+    if han.any():
+        both = han[:-1] & han[1:]
+        bag.update((content[:-1][both] * (1 << 24) + content[1:][both] + (1 << 50)).tolist())
+    return bag
+
+
+def _contained(a: Counter, b: Counter) -> float:
+    n = sum(a.values())
+    return sum(min(v, b[w]) for w, v in a.items() if w >= 0 and w in b) / n if n else 0.0
+
+
+def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0.8, min_hits: int = 3) -> DataFrame:
+    """``eval_key``, ``train_key``, ``hits``, ``eval_contained``, ``train_contained``.
+
+    Both tables have ``key``, ``body`` and ``context``. A pair counts if the
+    body of either record is contained in the other record, context and all, to
+    at least ``similarity`` of its content words: a context may be missing or
+    moved into the body, and sharing only a context is not enough. Sentence
+    order, case, layout and notation do not matter. Records whose body has no
+    words match nothing; rows with equal keys are compared each; empty tables
+    give no rows. Training records are scanned where they are, without a shuffle.
+    """
+    spark = training.sparkSession
+    rows_in = training.select("key", "body", "context").where("body is not null")
+    schema = "eval_key string, train_key string, hits int, eval_contained double, train_contained double"
+    found: list[DataFrame] = []
+    for rows in query_blocks(evaluation.select("key", "body", "context").where("body is not null")):
+        shared = broadcast_index(spark, rows)
+        contexts = spark.sparkContext.broadcast([r[2] for r in rows])
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared, contexts=contexts) -> Iterator[pd.DataFrame]:
+            index = shared.value
+            reader = index.reader()
+            bags: dict[int, tuple[Counter, Counter]] = {}
+
+            def evaluated(t: int) -> tuple[Counter, Counter]:
+                if t not in bags:
+                    own = index.words[t].astype(np.int64)
+                    bags[t] = (_bag(own, index), _bag(np.concatenate((reader.read(contexts.value[t]), own)), index))
+                return bags[t]
+
+            for b in batches:
+                out = []
+                for key, body, context in zip(b["key"], b["body"], b["context"]):
+                    own = reader.read(body)
+                    whole = np.concatenate((reader.read(context), own))
+                    text, place, _, _ = index.hits(whole)
+                    if len(text) < min_hits:
+                        continue
+                    pairs = np.unique(np.stack((text, place)), axis=1)[0]
+                    near, hits = np.unique(pairs, return_counts=True)
+                    if not (hits >= min_hits).any():
+                        continue
+                    bag, bag_whole = _bag(own, index), _bag(whole, index)
+                    for t, n in zip(near.tolist(), hits.tolist()):
+                        if n < min_hits:
+                            continue
+                        e, e_whole = evaluated(t)
+                        c1 = _contained(e, bag_whole)
+                        if c1 < similarity:
+                            continue
+                        c2 = _contained(bag, e_whole)
+                        if c2 >= similarity:
+                            out.append((index.keys[t], key, n, c1, c2))
+                yield pd.DataFrame(out, columns=["eval_key", "train_key", "hits", "eval_contained", "train_contained"])
+
+        found.append(rows_in.mapInPandas(run, schema))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
+def _records(problems: DataFrame) -> DataFrame:
+    split = F.lower(F.trim("split"))
+    body, context = F.coalesce("question_text", F.lit("")), F.coalesce("background", F.lit(""))
+    return problems.select(
+        "problem_id", split.alias("split"), F.col("question_text").alias("body"), F.col("background").alias("context"),
+        F.sha2(F.concat(F.length(context).cast("string"), F.lit(":"), context, body), 256).alias("key"),
+    )
+
+
+def cross_split_classes(problems: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Near pairs between classes of exact copies, and the members of each class.
+
+    Copies of a record are compared once, whatever their number; pairs of
+    records follow from pairs of classes and the membership table.
+    """
+    rec = _records(problems)
+    one = lambda part: part.groupBy("key").agg(F.first("body").alias("body"), F.first("context").alias("context"))
+    pairs = near_pairs(one(rec.where(F.col("split").isin(*EVALUATION))), one(rec.where("split = 'train'")), similarity)
+    return pairs, rec.select("key", "problem_id", "split")
+
+
+def cross_split_pairs(problems: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``problem_id_a`` < ``problem_id_b``, one in train and one in an evaluation split, and the evaluation one's id and split."""
+    pairs, members = cross_split_classes(problems, similarity)
+    ev = members.where(F.col("split").isin(*EVALUATION)).select(F.col("key").alias("eval_key"), F.col("problem_id").alias("eval_id"), F.col("split").alias("eval_split"))
+    tr = members.where("split = 'train'").select(F.col("key").alias("train_key"), F.col("problem_id").alias("train_id"))
+    return pairs.join(ev, "eval_key").join(tr, "train_key").select(
+        F.least("eval_id", "train_id").alias("problem_id_a"), F.greatest("eval_id", "train_id").alias("problem_id_b"), "eval_id", "eval_split", "train_id",
+    ).distinct()

@@ -1,0 +1,35 @@
+"""Scanning a table for word sequences of a bounded block of query texts."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from benchsieve.functions.words import ShingleIndex
+
+#: Most characters of query text in one block; what is broadcast at once is of this order.
+BLOCK_CHARS = 32_000_000
+
+
+def query_blocks(queries: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list]:
+    """The rows of ``queries`` (key, text, more texts) in blocks of bounded size.
+
+    ``queries`` is a stated query set, run against all rows block by block; a
+    block is what one pass over the scanned table holds in memory.
+    """
+    key, *texts = queries.columns
+    size = queries.select(F.sum(sum(F.coalesce(F.length(t), F.lit(0)) for t in texts)).alias("n")).first()["n"] or 0
+    blocks = max(1, math.ceil(size / block_chars))
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        rows = part.orderBy(key).collect()
+        if rows:
+            yield rows
+
+
+def broadcast_index(spark: SparkSession, rows: list):
+    """A broadcast ``ShingleIndex`` of the second field of ``rows``, keyed by the first."""
+    return spark.sparkContext.broadcast(ShingleIndex([r[0] for r in rows], [r[1] for r in rows]))

@@ -1,0 +1,45 @@
+"""Queries of the core's training-data operators (problems 4 and 6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from benchsieve.functions.ids import paper_key
+from benchsieve.operators import crosssplit, groupsplit
+from benchsieve.session import read, spread, stage_table
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return groupsplit.problem_groups(read(spark, d, "paper_disjoint_split_seed0"), read(spark, d, "problems_cc_by").select("problem_id", "paper_id"), read(spark, d, "source_paper_licenses"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d).where("n > 1").select("problem_id", "group_id")
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    return groupsplit.assign_splits(stage_table(_groups(spark, d), "groups"), read(spark, d, "paper_disjoint_split_seed0").select("problem_id", "type"))
+
+
+def _problems(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read(spark, d, "problems_cc_by").select("problem_id", "paper_id", "split", "question_text", "background"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.cross_split_pairs(_problems(spark, d)).select("problem_id_a", "problem_id_b").distinct()
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and paper: pairs and leaking problems, also of the archived disjoint view."""
+    problems = _problems(spark, d)
+    pairs = crosssplit.cross_split_pairs(problems)
+    archived = read(spark, d, "paper_disjoint_test").select("problem_id").distinct().withColumn("archived", F.lit(True))
+    known = problems.select("problem_id", paper_key("paper_id").alias("paper_key"))
+    rows = pairs.join(known, pairs["eval_id"] == known["problem_id"]).drop("problem_id").join(archived, pairs["eval_id"] == archived["problem_id"], "left")
+    return rows.groupBy("eval_split", "paper_key").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_id").alias("n_problems"), F.countDistinct(F.when(F.col("archived"), F.col("eval_id"))).alias("n_archived_view")
+    )
+
+
+QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_report": p6_report}

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from benchsieve.plans import algorithms
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {**algorithms.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
