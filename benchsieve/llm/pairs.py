@@ -250,8 +250,9 @@ def defect(text: str | None, q: Question, crf: Crf) -> str | None:
         return "refusal"
     units = _units(_plain(text))
     if cover[ECHO] >= 0.8 and not said or len(units) >= 8 and echo_share(units, q) >= 0.9 and not any(x[i, 9] and not x[i, 4] for i in range(len(parts))):
-        if cut is None or len(q.asked - set(units)) <= 0.03 * len(q.asked):
-            return "copied"  # a copy that breaks off within the question is a cut one
+        whole = len(q.asked - set(units)) <= 0.03 * len(q.asked) and echo_share(_units(_plain(parts[-1])), q) >= 0.6
+        if cut is None or whole:
+            return "copied"  # a copy that breaks off within the question or after it is a cut response
     mine = language(re.sub(r"[\"“„«][^\"”“»]*[\"”“»]", " ", _plain(text)))
     other = mine is not None and q.lang is not None and mine != q.lang
     if other and cover[FOREIGN] > 0.3 or cover[FOREIGN] > 0.5 and mine is None and x[:, 7].any():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchsieve.llm import markup, pairs, truncation
+from benchsieve.llm import leakage, markup, pairs, truncation
 from benchsieve.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,20 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(rows, "response_id", "candidate", "model", read(spark, d, "truncation_16k"))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.held_out_items(read(spark, d, "problems_cc_by"), read(spark, d, "external_items"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
+    return leakage.find_leaks(docs, _items(spark, d)).select("doc_id", "item_id").distinct()
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
+    return leakage.leak_report(_items(spark, d), leakage.find_leaks(docs, _items(spark, d)))
+
+
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     """The two fields of problem 3 with their record keys."""
     answers = read(spark, d, "problems_cc_by").select(F.lit("answer").alias("field_name"), F.col("problem_id").alias("record_key"), F.col("answer").alias("value"))
@@ -52,7 +66,7 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_pairs": p5_pairs}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_pairs": p5_pairs}
 
 
 def oracle_sql() -> dict[str, str]:
