@@ -55,18 +55,23 @@ class Crf:
     def tag(self, s: np.ndarray) -> list[int]:
         """The best label sequence (Viterbi)."""
         e = s @ self.emit
+        move = self.move.T.copy()
         best = e[0] + self.first
         back = []
         for row in e[1:]:
-            c = best[:, None] + self.move
-            back.append(c.argmax(0))
-            best = c.max(0) + row
+            c = move + best
+            p = c.argmax(1)
+            back.append(p)
+            best = c[_ROWS[: len(p)], p] + row
         out = [int(best.argmax())]
         for p in reversed(back):
             out.append(int(p[out[-1]]))
         return out[::-1]
 
 
+_ROWS = np.arange(64)
+
+
 def _lse(v: np.ndarray, axis: int) -> np.ndarray:
     m = v.max(axis=axis, keepdims=True)
     return (m + np.log(np.exp(v - m).sum(axis=axis, keepdims=True))).squeeze(axis)

@@ -62,28 +62,56 @@ SMALL = {
     "fr": "le la les de des et est une un du que en dans pour par sur avec qui ne pas au il se donc tant entre",
     "es": "el la los las de del y es una un que en por con para se al no lo como su entre hay queda mientras",
 }
-_SMALL = {k: frozenset(v.split()) for k, v in SMALL.items()}
+_LANGS = list(SMALL)
+_OF_WORD: dict[str, list[int]] = {}
+for _i, _words in enumerate(SMALL.values()):
+    for _w in _words.split():
+        _OF_WORD.setdefault(_w, []).append(_i)
+#: A clause without any of these words cannot match the pattern of that name, so it is not tried; Han text always is.
+CUES = {
+    "unable": "can cannot could couldn won will unable able do don decline refuse rather prefer pass something outside beyond little enough prevent prevents not no allow unanswered "
+    "kann nicht muss ne refuser impossible puedo posible estoy",
+    "regret": "sorry apologies apologize apologise apologizes apology unfortunately regret forgive thank appreciate assistant model ai leider désolé malheureusement siento lamentablemente",
+    "courtesy": "else hope care please consult textbook check look ask guidelines luck wishes feel know nice good",
+    "hedge": "but so draft here instead certain hand nevertheless will let we won misread",
+    "conclude": "answer result option therefore hence thus obtain completes claimed qed ergebnis résultat resultado",
+}
+_CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
+ALL_WORDS = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
+
+
+def _language(words: list[str]) -> str | None:
+    hits = [0] * len(_LANGS)
+    cjk = 0
+    for w in words:
+        got = _OF_WORD.get(w)
+        if got is not None:
+            for i in got:
+                hits[i] += 1
+        elif len(w) == 1 and "㐀" <= w <= "鿿":
+            cjk += 1
+    if cjk >= 4 and 2 * cjk >= len(words):
+        return "zh"
+    top = max(hits)
+    return _LANGS[hits.index(top)] if top >= 2 and hits.count(top) == 1 else None
 
 
 def language(text: str) -> str | None:
     """en, de, fr, es or zh by small words and script; None where too little is said."""
-    cjk = len(CJK.findall(text))
-    words = [w.lower() for w in WORD.findall(CJK.sub(" ", text))]
-    if cjk >= 4 and cjk >= len(words):
-        return "zh"
-    hits = {k: sum(w in v for w in words) for k, v in _SMALL.items()}
-    best = max(hits, key=lambda k: hits[k])
-    others = max(v for k, v in hits.items() if k != best)
-    return best if hits[best] >= 2 and hits[best] > others else None
+    return _language(ALL_WORDS.findall(text.lower()))
 
 
 def _plain(text: str) -> str:
     return TEX_BITS.sub(" ", FORMULA.sub(" ", text))
 
 
+def _units_of(words: list[str]) -> list[str]:
+    return [w for w in words if len(w) >= 3 or "㐀" <= w <= "鿿"]
+
+
 def _units(text: str) -> list[str]:
     """Words of a text in order; a Han sign is a word."""
-    return [w.lower() for w in re.findall(r"[㐀-鿿]|[^\W\d_㐀-鿿]{3,}", text)]
+    return _units_of(ALL_WORDS.findall(text.lower()))
 
 
 def _bits(units: list[str]) -> set[str]:
@@ -136,37 +164,45 @@ def echo_share(units: list[str], q: Question) -> float:
     return sum(u in q.bits for u in units) / len(units)
 
 
+QUOTED = re.compile(r"[\"“„«][^\"”“»]*[\"”“»]")
+
+
 def features(parts: list[str], q: Question, cut: bool) -> np.ndarray:
-    x = np.zeros((len(parts), N_FEATURES))
+    rows = []
     n = len(parts)
     for i, p in enumerate(parts):
-        plain = _plain(p)
-        units = _units(plain)
-        echo = echo_share(units, q)
-        lang = language(re.sub(r"[\"“„«][^\"”“»]*[\"”“»]", " ", plain))
         has_math = "$" in p or "\\" in p
-        new_math = has_math and any(re.sub(r"[\s$\\{}(),.]", "", m) not in q.math for m in FORMULA.findall(p))
-        unable = bool(INABILITY.search(plain))
-        x[i] = (
+        plain = _plain(p) if has_math or "<" in p or "&" in p else p
+        words = ALL_WORDS.findall(plain.lower())
+        have = set(words)
+        han = any("㐀" <= w <= "鿿" for w in have)
+        units = _units_of(words)
+        echo = echo_share(units, q)
+        lang = _language(ALL_WORDS.findall(QUOTED.sub(" ", plain).lower()) if '"' in plain or "“" in plain or "«" in plain else words)
+        new_math = has_math and echo < 0.85 and any(re.sub(r"[\s$\\{}(),.]", "", m) not in q.math for m in FORMULA.findall(p))
+        cue = lambda k: han or not have.isdisjoint(_CUES[k])  # noqa: B023, E731
+        hedge = cue("hedge") and bool(HEDGE.search(plain))
+        unable = not has_math and not hedge and cue("unable") and bool(INABILITY.search(plain) and SELF.search(plain) and TASK.search(plain))
+        rows.append((
             1,
-            unable and bool(SELF.search(plain)) and bool(TASK.search(plain)) and not HEDGE.search(plain) and not has_math,
-            bool(REGRET.search(plain)) and not has_math,
-            bool(COURTESY.search(plain)),
+            unable,
+            not has_math and cue("regret") and bool(REGRET.search(plain)),
+            cue("courtesy") and bool(COURTESY.search(plain)),
             len(units) >= 4 and echo >= 0.85,
             len(units) >= 4 and echo < 0.6,
             len(plain) < 90 and bool(LABEL.search(plain)),
             lang is not None and q.lang is not None and lang != q.lang,
             lang is not None and lang == q.lang,
-            bool(CONCLUDE.search(p)),
-            new_math and echo < 0.85,
+            "\\boxed" in p or cue("conclude") and bool(CONCLUDE.search(p)),
+            new_math,
             has_math,
-            bool(HEDGE.search(plain)),
+            hedge,
             i == n - 1,
             i == n - 1 and cut,
             len(units) < 3,
             i == 0,
-        )
-    return x
+        ))
+    return np.array(rows, dtype=float).reshape(n, N_FEATURES)
 
 
 def _training(pairs: list[tuple[str, str | None, str]], seed: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -245,15 +281,17 @@ def defect(text: str | None, q: Question, crf: Crf) -> str | None:
     cover /= size.sum()
     # labels and single words say nothing by themselves
     said = any(t == ANSWER and not (x[i, 6] or x[i, 3] or x[i, 2] and not x[i, 11]) for i, t in enumerate(tags))
-    concludes = any(ANSWERS.search(p) and not x[i, 1] and not x[i, 2] and not x[i, 4] for i, p in enumerate(parts))
-    if any(t == REFUSAL and x[i, 1] for i, t in enumerate(tags)) and not concludes:
+    if any(t == REFUSAL and x[i, 1] for i, t in enumerate(tags)) and not any(
+        ANSWERS.search(p) and not x[i, 1] and not x[i, 2] and not x[i, 4] for i, p in enumerate(parts)
+    ):
         return "refusal"
-    units = _units(_plain(text))
+    words = ALL_WORDS.findall(_plain(text).lower())
+    units = _units_of(words)
     if cover[ECHO] >= 0.8 and not said or len(units) >= 8 and echo_share(units, q) >= 0.9 and not any(x[i, 9] and not x[i, 4] for i in range(len(parts))):
         whole = len(q.asked - set(units)) <= 0.03 * len(q.asked) and echo_share(_units(_plain(parts[-1])), q) >= 0.6
         if cut is None or whole:
             return "copied"  # a copy that breaks off within the question or after it is a cut response
-    mine = language(re.sub(r"[\"“„«][^\"”“»]*[\"”“»]", " ", _plain(text)))
+    mine = language(QUOTED.sub(" ", _plain(text))) if cover[FOREIGN] > 0.3 else None
     other = mine is not None and q.lang is not None and mine != q.lang
     if other and cover[FOREIGN] > 0.3 or cover[FOREIGN] > 0.5 and mine is None and x[:, 7].any():
         return "language"
