@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchsieve.llm import leakage, markup, pairs, truncation
-from benchsieve.session import read, spread
+from benchsieve.llm import chunking, leakage, markup, mixing, packing, pairs, truncation
+from benchsieve.session import read, spread, stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,8 +65,38 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).where("defect is not null")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read(spark, d, "documents").select("doc_id", "text", "source"))
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_documents(spark, d))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_pack(spark, d))
+
+
+def p8_uses(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_documents(spark, d), read(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    used, plan = mixing.mix(_documents(spark, d), read(spark, d, "mix_targets"))
+    return mixing.share_report(used, plan)
+
+
+def p8_arranged(spark: SparkSession, d: str) -> DataFrame:
+    used, _ = mixing.mix(_documents(spark, d), read(spark, d, "mix_targets"))
+    return mixing.arrange(stage_table(used, "uses"))
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.split_oversized(_documents(spark, d))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_pairs": p5_pairs}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_clean, p5_found, p5_pairs, p7_pack, p7_report, p8_uses, p8_shares, p8_arranged, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
