@@ -161,6 +161,7 @@ class ShingleIndex:
         for w, n in self.vocabulary.items():
             self.content[n] = is_content(w)
             self.han[n] = len(w) == 1 and "㐀" <= w <= "鿿"
+        self.content_at = [np.flatnonzero(self.content[w]) for w in self.words]
         keyed: list[np.ndarray] = []
         for w in self.words:
             c = w[self.content[w]].astype(np.int64)
