@@ -146,14 +146,16 @@ class ShingleIndex:
 
     Every shingle that at most ``common`` texts share is an anchor; of those
     shared by more, the rarest of each six in a row stays one too, so that no
-    stretch of any text is left without anchors.
+    stretch of any text is left without anchors. The words of ``contexts`` are
+    known to the index too, but no anchors.
     """
 
-    def __init__(self, keys: list[str], texts: Iterable[str | None], common: int = 64) -> None:
+    def __init__(self, keys: list[str], texts: Iterable[str | None], common: int = 64, contexts: Iterable[str | None] = ()) -> None:
         self.keys = keys
         self.vocabulary: dict[str, int] = {}
         words = Words(self.vocabulary, grow=True)
         self.words = [words.read(t).astype(np.int32) for t in texts]
+        self.context_words = [words.read(t).astype(np.int32) for t in contexts]
         if len(self.vocabulary) + FIRST_WORD >= 1 << WORD_BITS:
             raise ValueError("a block holds too many different words; use more blocks")
         self.content = np.zeros(len(self.vocabulary) + FIRST_WORD, dtype=bool)

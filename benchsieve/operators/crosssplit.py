@@ -57,9 +57,8 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0
     found: list[DataFrame] = []
     for rows in query_blocks(evaluation.select("key", "body", "context").where("body is not null")):
         shared = broadcast_index(spark, rows)
-        contexts = spark.sparkContext.broadcast([r[2] for r in rows])
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared, contexts=contexts) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value
             reader = index.reader()
             bags: dict[int, tuple[Counter, Counter]] = {}
@@ -67,7 +66,7 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0
             def evaluated(t: int) -> tuple[Counter, Counter]:
                 if t not in bags:
                     own = index.words[t].astype(np.int64)
-                    bags[t] = (_bag(own, index), _bag(np.concatenate((reader.read(contexts.value[t]), own)), index))
+                    bags[t] = (_bag(own, index), _bag(np.concatenate((index.context_words[t].astype(np.int64), own)), index))
                 return bags[t]
 
             for b in batches:

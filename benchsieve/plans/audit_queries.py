@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchsieve.functions import text
 from benchsieve.operators import audit
-from benchsieve.session import read, spread
+from benchsieve.session import read, shared_dir, spread
+from benchsieve.streaming import incremental
 
 
 def _problems(spark: SparkSession, d: str, col: str = "text") -> DataFrame:
@@ -107,6 +110,14 @@ def audit_drift(spark: SparkSession, d: str) -> DataFrame:
     return now.join(newest, "problem_id", "left").select("problem_id", F.col("old.docs_total").alias("docs_then"), F.col("docs_total").alias("docs_now"), F.col("old.in_s0").alias("s0_then"), F.col("in_s0").alias("s0_now"))
 
 
+def audit_streaming(spark: SparkSession, d: str) -> DataFrame:
+    """The audit over the documents as a stream, summed per problem and slice."""
+    docs = spark.readStream.schema(read(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*").select("doc_id", F.col("source").alias("slice"), "text")
+    run = uuid.uuid4().hex
+    hits = incremental.run_available(incremental.document_hits(docs, _problems(spark, d)), f"{shared_dir(spark)}/hits-{run}", f"{shared_dir(spark)}/stream-{run}")
+    return hits.groupBy("problem_id", "slice").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("docs"))
+
+
 _SWEEP_SQL = "WITH pt AS (SELECT problem_id, " + text.tokens_sql("text") + " AS toks FROM problems_cc_by), dt AS (SELECT doc_id, " + text.tokens_sql("text") + " AS toks FROM documents), s AS (" + " UNION ALL ".join(
     f"""SELECT p.problem_id, {n} AS n, coalesce(d, 0)::BIGINT AS docs_total, coalesce(h, 0)::BIGINT AS hits_total, d IS NULL AS in_s0 FROM pt p LEFT JOIN (
   SELECT problem_id, count(DISTINCT doc_id) AS d, count(*) AS h FROM ({text.grams_sql('dt', 'doc_id', n)}) JOIN (SELECT DISTINCT problem_id, g FROM ({text.grams_sql('pt', 'problem_id', n)})) USING (g) GROUP BY 1) x USING (problem_id)"""
@@ -120,6 +131,7 @@ QUERIES = {
     "audit_answer_surface": _run(13, True, "answer"),
     "audit_external": audit_external,
     "audit_by_source": audit_by_source,
+    "audit_streaming": audit_streaming,
     "audit_forward": audit_forward,
     "audit_examples": audit_examples,
     "audit_hist_docs": audit_hist_docs,
@@ -142,6 +154,7 @@ SQL = {
     "audit_answer_surface": "WITH " + _audit_sql(13, True, "answer") + " SELECT * FROM audit",
     "audit_external": "WITH " + _audit_sql(13, True, "question_text", "external_items", "item_id") + " SELECT * FROM audit",
     "audit_by_source": _A13 + " SELECT * FROM per",
+    "audit_streaming": _A13 + " SELECT problem_id, slice, hits, docs FROM per",
     "audit_forward": f"""WITH pt AS (SELECT problem_id, {text.tokens_sql('text')} AS toks FROM problems_cc_by),
 own AS ({text.grams_sql('pt', 'problem_id', 13)}), dt AS (SELECT doc_id, source AS slice, {text.tokens_sql('text')} AS toks FROM documents),
 corpus AS (SELECT DISTINCT slice, g FROM ({text.grams_sql('dt', 'slice, doc_id', 13)})), h AS (SELECT problem_id, count(*) AS h FROM own JOIN corpus USING (g) GROUP BY 1)
