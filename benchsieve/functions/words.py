@@ -172,6 +172,8 @@ class ShingleIndex:
         key = np.concatenate(keyed) if keyed else np.zeros(0, dtype=np.int64)
         text = np.repeat(np.arange(len(keyed)), lens)
         place = np.concatenate([np.arange(n) for n in lens]) if len(lens) else np.zeros(0, dtype=np.int64)
+        #: share of each text's windows that are anchors
+        self.kept = np.ones(len(keyed))
         if len(key):
             _, back, share = np.unique(key, return_inverse=True, return_counts=True)
             share = share[back]
@@ -184,6 +186,8 @@ class ShingleIndex:
                         j = i + int(s[i : i + 6].argmin())
                         keep[at + j] = key[at + j] >= 0
                 at += n
+            windows = np.bincount(text[key >= 0], minlength=len(keyed))
+            self.kept = np.bincount(text[keep], minlength=len(keyed)) / np.maximum(windows, 1)
             key, text, place = key[keep], text[keep], place[keep]
         order = np.argsort(key, kind="stable")
         self.key, self.text, self.place = key[order], text[order].astype(np.int32), place[order].astype(np.int32)

@@ -10,21 +10,21 @@ from benchsieve.functions.ids import author_key, paper_key
 from benchsieve.operators import inference, release, verdicts
 
 
-def tests_of(spark, ps):
+def p_table(spark, ps):
     return spark.createDataFrame([(i, float(p)) for i, p in enumerate(ps)], "test int, p double")
 
 
 @pytest.mark.parametrize("ps,want", [([0.01, 0.04, 0.03, 0.5], [True, False, False, False]), ([0.01, 0.049, 0.02, 0.05], [True] * 4)])
 def test_bh(spark, ps, want):
-    rows = inference.benjamini_hochberg(tests_of(spark, ps), "p", ["test"]).orderBy("test").collect()
+    rows = inference.benjamini_hochberg(p_table(spark, ps), "p", ["test"]).orderBy("test").collect()
     assert [r["bh"] for r in rows] == want
 
 
 def test_holm_and_nesting(spark):
-    rows = inference.holm(tests_of(spark, [0.01, 0.04, 0.03, 0.5]), "p", ["test"]).orderBy("test").collect()
+    rows = inference.holm(p_table(spark, [0.01, 0.04, 0.03, 0.5]), "p", ["test"]).orderBy("test").collect()
     assert [r["holm"] for r in rows] == [True, False, False, False]
     rng = random.Random(0)
-    t = tests_of(spark, [rng.random() ** 4 for _ in range(40)])
+    t = p_table(spark, [rng.random() ** 4 for _ in range(40)])
     r = inference.holm(inference.benjamini_hochberg(inference.bonferroni(t, "p"), "p", ["test"]), "p", ["test"]).collect()
     assert all((not x["bonferroni"] or x["holm"]) and (not x["holm"] or x["bh"]) for x in r)
 
