@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from benchsieve.session import stage_table
 
 TERMINAL = ".!?。！？;；:"
-#: Words which say that what follows is the result, so that a bare formula or letter may end the text.
+#: Words right before a bare formula or letter which say that it is the result, so that it may end the text.
 CONCLUDES = re.compile(
-    r"\b(answer|answers|result|results|option|choice|obtain|obtains|therefore|hence|thus|so|is|are|equals|solution|q\.?e\.?d"
-    r"|antwort|ergebnis|lösung|lautet|ergibt|réponse|résultat|donc|est|respuesta|resultado|tanto|es)\b|答案|结果|因此|所以|[=:：]",
+    r"(?:\b(?:answer|answers|result|results|option|choice|obtain|obtains|solution|is|are|equals|q\.?e\.?d|antwort|ergebnis|lösung|lautet|ergibt|ist"
+    r"|réponse|résultat|donc|est|respuesta|resultado|tanto|es)\b|答案|结果|因此|所以|[=:：是为])[^\w]*$",
     re.I,
 )
+#: Words which do so at the head of a short sentence.
+FOLLOWS = re.compile(r"^\W*(?:therefore|hence|thus|so|also|donc|luego)\b(?:\W+\w+){0,3}\W*$|(?:因此|所以)[^，。]{0,8}$", re.I)
 NOTICE = re.compile(
     r"(?:[\[(<{*_~-]\s*|\b)(?:output|token|tokens|length|size|char(?:acter)?s?|context|connection|stream|response|message|text|max\w*|request|generation|transfer|download)\b"
     r"[^\n\]\[)]{0,40}\b(?:limit|reached|closed|cut|truncated|lost|reset|aborted|interrupted|ended|exceeded|dropped|timed? ?out|stopped|incomplete)\b[^\n\]\[)]{0,40}[\])>}*_~.…\s-]*$"
@@ -173,14 +175,15 @@ def cut_reason(text: str | None) -> str | None:
     ends_math = last.endswith("$F$") or bool(re.search(r"\\boxed\s*\{.*\}?$", last)) or last.endswith("}")
     if ends_math:
         head = re.sub(r"(\$F\$|\\boxed\s*\{.*)$", "", last).strip()
-        if not head or CONCLUDES.search(head) or "\\boxed" in last:
+        if not head or CONCLUDES.search(head) or FOLLOWS.search(head) or "\\boxed" in last:
             return None
         return "sentence" if whole > 60 or traced else None
-    if re.search(r"(?:^|[\s:：(*])\(?[A-Ha-h]$", last) and (CONCLUDES.search(last[:-1]) or len(last) <= 3):
+    got = re.search(r"(?:^|[\s:：(*])\(?[A-Ha-h]$", last)
+    if got and (CONCLUDES.search(last[: got.start()]) or FOLLOWS.search(last[: got.start()]) or len(last) <= 3):
         return None
     if re.search(r"[:：]\s*\S{1,24}$", last) and re.search(r"answer|result|option|antwort|ergebnis|réponse|résultat|respuesta|resultado|答案|结果", last, re.I):
         return None
-    words = re.findall(r"\w+", last)
+    words = re.findall(r"[㐀-鿿]|[^\W㐀-鿿]+", last)
     if whole <= 40 and len(words) <= 4 and not traced and line == bare:
         return None  # a bare short answer
     return "sentence"
