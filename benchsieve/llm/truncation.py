@@ -41,6 +41,8 @@ NOTICE = re.compile(
 )
 HINT = re.compile(r"[\[(<{]|(?:reached|closed|truncated|interrupted|exceeded|aborted|incomplete|limit)[\])>}*_~.…\s-]*$", re.I)
 ELLIPSIS = re.compile(r"(?:…|\.{3,}|�)+\s*$")
+#: Words that end no sentence.
+OPEN_WORD = re.compile(r"\b(?:the|an|of|to|and|or|in|for|with|is|are|by|that|which|der|die|das|und|mit|le|les|des|et|el|los|del|y)$", re.I)
 FENCE = re.compile(r"^\s*(```|~~~)", re.M)
 ENV = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}")
 ONE_TAG_END = re.compile(r"(?:</?[A-Za-z][^<>]*>|<!--[^<>]*-->|&nbsp;|\s)$")
@@ -184,7 +186,7 @@ def cut_reason(text: str | None) -> str | None:
     if re.search(r"[:：]\s*\S{1,24}$", last) and re.search(r"answer|result|option|antwort|ergebnis|réponse|résultat|respuesta|resultado|答案|结果", last, re.I):
         return None
     words = re.findall(r"[㐀-鿿]|[^\W㐀-鿿]+", last)
-    if whole <= 40 and len(words) <= 4 and not traced and line == bare:
+    if whole <= 40 and len(words) <= 4 and not OPEN_WORD.search(last) and not traced and line == bare:
         return None  # a bare short answer
     return "sentence"
 
