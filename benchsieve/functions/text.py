@@ -30,19 +30,25 @@ def gram_count(toks: str | Column, n: int) -> Column:
     return F.greatest(F.size(toks) - F.lit(n - 1), F.lit(0)).cast("bigint")
 
 
-def gram_keys(toks: str | Column, n: int) -> Column:
+def word_hashes(c: str | Column, strip_markup: bool = True) -> Column:
+    """The words of a normalized text as hashes. Give it a column of its own before ``gram_keys`` reads it."""
+    return F.transform(tokens(c, strip_markup), lambda w: F.xxhash64(w))
+
+
+def gram_keys(hashes: str | Column, n: int) -> Column:
     """Keys of the n-grams in order: two hashes of each, 96 bits; null if there are none.
 
     The keys stand for the n-gram strings in joins and counts: building and
-    shuffling the strings would cost n times the text.
+    shuffling the strings would cost n times the text. The n word hashes are
+    read one by one, since taking a slice copies the whole array each time.
     """
-    toks = F.col(toks) if isinstance(toks, str) else toks
+    hashes = F.col(hashes) if isinstance(hashes, str) else hashes
 
     def key(i: Column) -> Column:
-        part = F.slice(toks, i, F.lit(n))
-        return F.struct(F.xxhash64(part).alias("g1"), F.hash(part).alias("g2"))
+        part = [F.get(hashes, i + j) for j in range(n)]
+        return F.struct(F.xxhash64(*part).alias("g1"), F.hash(*part).alias("g2"))
 
-    return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - F.lit(n - 1)), key))
+    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - F.lit(n)), key))
 
 
 def gram_text(toks: str | Column, place: str | Column, n: int) -> Column:

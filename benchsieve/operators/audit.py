@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from benchsieve.functions.text import gram_count, gram_keys, gram_text, tokens
+from benchsieve.functions.text import gram_count, gram_keys, gram_text, tokens, word_hashes
+from benchsieve.session import stage_table
 
 #: Rows of (problem, n-gram) up to which the probe is broadcast, some 30 bytes each.
 PROBE_ROWS = 4_000_000
@@ -30,8 +31,8 @@ def require_unique(problems: DataFrame, key: str = "problem_id") -> DataFrame:
 
 def probe(problems: DataFrame, n: int, strip_markup: bool = True) -> DataFrame:
     """Distinct (``problem_id``, ``g1``, ``g2``)."""
-    toks = problems.select("problem_id", tokens("text", strip_markup).alias("toks"))
-    return toks.select("problem_id", F.explode(gram_keys("toks", n)).alias("k")).select("problem_id", "k.g1", "k.g2").distinct()
+    toks = problems.select("problem_id", word_hashes("text", strip_markup).alias("hs"))
+    return toks.select("problem_id", F.explode(gram_keys("hs", n)).alias("k")).select("problem_id", "k.g1", "k.g2").distinct()
 
 
 def small(df: DataFrame, most: int = PROBE_ROWS) -> DataFrame:
@@ -41,15 +42,19 @@ def small(df: DataFrame, most: int = PROBE_ROWS) -> DataFrame:
 
 def corpus_grams(documents: DataFrame, n: int, strip_markup: bool = True) -> DataFrame:
     """``slice``, ``doc_id``, ``g1``, ``g2``, one row per occurrence, and its place."""
-    toks = documents.select("slice", "doc_id", tokens("text", strip_markup).alias("toks"))
-    return toks.select("slice", "doc_id", F.posexplode(gram_keys("toks", n)).alias("pos", "k")).select("slice", "doc_id", "pos", "k.g1", "k.g2")
+    toks = documents.select("slice", "doc_id", word_hashes("text", strip_markup).alias("hs"))
+    return toks.select("slice", "doc_id", F.posexplode(gram_keys("hs", n)).alias("pos", "k")).select("slice", "doc_id", "pos", "k.g1", "k.g2")
 
 
 def matches(problems: DataFrame, documents: DataFrame, n: int, strip_markup: bool = True) -> DataFrame:
-    """Per problem, slice, document and n-gram the number of occurrences."""
-    p = small(probe(problems, n, strip_markup))
+    """Per problem, slice, document and n-gram the number of occurrences.
+
+    Written once in the shared folder: it holds only what matched, and several
+    aggregations start from it, which would else scan the corpus once each.
+    """
+    p = small(stage_table(probe(problems, n, strip_markup), "probe"))
     hit = corpus_grams(documents, n, strip_markup).drop("pos").join(p, ["g1", "g2"])
-    return hit.groupBy("problem_id", "slice", "doc_id", "g1", "g2").agg(F.count(F.lit(1)).alias("c"))
+    return stage_table(hit.groupBy("problem_id", "slice", "doc_id", "g1", "g2").agg(F.count(F.lit(1)).alias("c")), "matches")
 
 
 def by_slice(found: DataFrame) -> DataFrame:
@@ -89,8 +94,8 @@ def audit_nested(problems: DataFrame, documents: DataFrame, n: int = 13) -> Data
 
 def forward_probe(problems: DataFrame, documents: DataFrame, n: int = 13) -> DataFrame:
     """Per problem and slice the number of its own n-gram places that occur in the slice; flags on these counts."""
-    own = problems.select("problem_id", tokens("text").alias("toks")).select("problem_id", F.explode(gram_keys("toks", n)).alias("k")).select("problem_id", "k.g1", "k.g2")
-    counted = small(own.groupBy("problem_id", "g1", "g2").agg(F.count(F.lit(1)).alias("c")))
+    own = problems.select("problem_id", word_hashes("text").alias("hs")).select("problem_id", F.explode(gram_keys("hs", n)).alias("k")).select("problem_id", "k.g1", "k.g2")
+    counted = small(stage_table(own.groupBy("problem_id", "g1", "g2").agg(F.count(F.lit(1)).alias("c")), "probe"))
     # each n-gram of a slice once: filter by the probe first, so that only what matches is made distinct
     hit = corpus_grams(documents, n).drop("pos", "doc_id").join(counted, ["g1", "g2"]).groupBy("slice", "problem_id", "g1", "g2").agg(F.max("c").alias("c"))
     per = hit.groupBy("problem_id").agg(F.sum("c").alias("h"))
@@ -103,25 +108,36 @@ def examples(problems: DataFrame, documents: DataFrame, n: int = 13, most: int =
 
     The report of the audit shows so many; all occurrences are searched.
     """
-    p = small(probe(problems, n))
+    p = small(stage_table(probe(problems, n), "probe"))
     hit = corpus_grams(documents, n).join(p, ["g1", "g2"])
     w = Window.partitionBy("problem_id", "slice").orderBy("doc_id", "pos")
-    top = hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("problem_id", "slice", "rank", "doc_id", "pos")
+    top = stage_table(hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("problem_id", "slice", "rank", "doc_id", "pos"), "examples")
     words = documents.select("doc_id", tokens("text").alias("toks"))
-    return top.join(words, "doc_id").select("problem_id", "slice", "rank", "doc_id", "pos", gram_text("toks", F.col("pos") + 1, n).alias("ngram"))
+    return words.join(small(top), "doc_id").select("problem_id", "slice", "rank", "doc_id", "pos", gram_text("toks", F.col("pos") + 1, n).alias("ngram"))
 
 
 def sweep(problems: DataFrame, documents: DataFrame, ns: tuple[int, ...] = SWEEP) -> DataFrame:
-    """``problem_id``, ``n``, ``docs_total``, ``hits_total``, ``in_s0`` for every n, with one pass over the corpus."""
+    """``problem_id``, ``n``, ``docs_total``, ``hits_total``, ``in_s0`` for every n.
+
+    The corpus is scanned for the least n. A match of a longer n-gram holds a
+    match of a shorter one, so only documents with such are read again, for all
+    other n at once.
+    """
+    least, *more = sorted(ns)
+    first = matches(problems, documents.withColumn("slice", F.lit("")), least).groupBy("problem_id", "doc_id").agg(F.sum("c").alias("c")).withColumn("n", F.lit(least))
 
     def keyed(df: DataFrame, cols: list[str]) -> DataFrame:
-        t = df.select(*cols, tokens("text").alias("toks"))
-        each = F.array(*[F.struct(F.lit(n).alias("n"), gram_keys("toks", n).alias("keys")) for n in ns])
+        t = df.select(*cols, word_hashes("text").alias("hs"))
+        each = F.array(*[F.struct(F.lit(n).alias("n"), gram_keys("hs", n).alias("keys")) for n in more])
         return t.select(*cols, F.explode(each).alias("e")).select(*cols, "e.n", F.explode("e.keys").alias("k")).select(*cols, "n", "k.g1", "k.g2")
 
-    p = small(keyed(problems, ["problem_id"]).distinct(), PROBE_ROWS)
-    docs = keyed(documents, ["doc_id"]).join(p, ["n", "g1", "g2"]).groupBy("problem_id", "n", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    per = docs.groupBy("problem_id", "n").agg(F.sum("c").alias("h"), F.count(F.lit(1)).alias("d"))
+    found = first.select("problem_id", "doc_id", "n", "c")
+    if more:
+        touched = documents.join(small(first.select("doc_id").distinct()), "doc_id", "left_semi")
+        p = small(stage_table(keyed(problems, ["problem_id"]).distinct(), "probe"))
+        longer = keyed(touched, ["doc_id"]).join(p, ["n", "g1", "g2"]).groupBy("problem_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("c"))
+        found = found.unionByName(longer)
+    per = found.groupBy("problem_id", "n").agg(F.sum("c").alias("h"), F.count(F.lit(1)).alias("d"))
     every = problems.select("problem_id", F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"))
     return every.join(per, ["problem_id", "n"], "left").select(
         "problem_id", "n", F.coalesce("d", F.lit(0)).alias("docs_total"), F.coalesce("h", F.lit(0)).alias("hits_total"), F.isnull("d").alias("in_s0")

@@ -43,8 +43,8 @@ def _one_level(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
         met.append(step.select(F.col("keep").alias("src"), F.explode("labels").alias("dst")).where("src <> dst"))
         frontier = step.where("had is null").select("node", F.col("keep").alias("label"))
         if frontier.isEmpty():
-            break
-        visited = stage_table(visited.unionByName(frontier), "visited")
+            break  # all that was reached had been visited
+        visited = visited.unionByName(frontier)  # tables already written, so this is no growing plan of work
     pairs = met[0]
     for m in met[1:]:
         pairs = pairs.unionByName(m)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,12 +83,19 @@ def greedy_split(problems: DataFrame, fraction: float = 0.2, seed: int = 0) -> D
     target = int(round(total * fraction))
     aim = [target * sum(v[i] for v in have.values()) for i in range(len(types))]  # scaled by total
     key = {p: hashlib.sha256(f"{seed}:{p}".encode()).hexdigest() for p in have}
-    left, now, chosen = sorted(have, key=key.get), [0] * len(types), []
-    while left and sum(now) < target:
-        best = min(left, key=lambda p: (sum(abs((n + a) * total - t) for n, a, t in zip(now, have[p], aim)), abs(sum(now) + sum(have[p]) - target), key[p]))
-        left.remove(best)
-        chosen.append(best)
-        now = [n + a for n, a in zip(now, have[best])]
+    papers = sorted(have, key=key.get)  # on ties the first wins, which has the least hash
+    counts = np.array([have[p] for p in papers], dtype=np.int64)
+    sizes, aims = counts.sum(1), np.array(aim, dtype=np.int64)
+    free, now, chosen = np.ones(len(papers), dtype=bool), np.zeros(len(types), dtype=np.int64), []
+    while free.any() and now.sum() < target:
+        at_free = np.flatnonzero(free)
+        off = np.abs((now + counts[at_free]) * total - aims).sum(1)
+        near = at_free[off == off.min()]
+        miss = np.abs(now.sum() + sizes[near] - target)
+        best = int(near[miss == miss.min()][0])
+        free[best] = False
+        chosen.append(papers[best])
+        now = now + counts[best]
     picked = problems.sparkSession.createDataFrame([(p,) for p in chosen], "paper string").withColumn("t", F.lit(1))
     return rows.join(F.broadcast(picked), "paper", "left").select("problem_id", "paper", F.when(F.col("t") == 1, "test").otherwise("train").alias("split"))
 

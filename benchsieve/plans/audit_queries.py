@@ -14,7 +14,7 @@ from benchsieve.streaming import incremental
 
 
 def _problems(spark: SparkSession, d: str, col: str = "text") -> DataFrame:
-    return read(spark, d, "problems_cc_by").select("problem_id", F.col(col).alias("text"))
+    return spread(read(spark, d, "problems_cc_by").select("problem_id", F.col(col).alias("text")))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:

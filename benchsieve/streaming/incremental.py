@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchsieve.functions.text import gram_keys, tokens
+from benchsieve.functions.text import gram_keys, word_hashes
 from benchsieve.operators.audit import probe, small
 
 
 def document_hits(documents: DataFrame, problems: DataFrame, n: int = 13) -> DataFrame:
     """Exact (``problem_id``, ``slice``, ``doc_id``, ``hits``) of a stream, keyed by document; sum it up downstream."""
     p = small(probe(problems, n))
-    toks = documents.select("doc_id", "slice", tokens("text").alias("toks"))
-    grams = toks.select("doc_id", "slice", F.explode(gram_keys("toks", n)).alias("k")).select("doc_id", "slice", "k.g1", "k.g2")
+    toks = documents.select("doc_id", "slice", word_hashes("text").alias("hs"))
+    grams = toks.select("doc_id", "slice", F.explode(gram_keys("hs", n)).alias("k")).select("doc_id", "slice", "k.g1", "k.g2")
     return grams.join(p, ["g1", "g2"]).groupBy("problem_id", "slice", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
