@@ -48,7 +48,7 @@ MD = {
     "heading": re.compile(r"^ {0,3}#{1,6}[ \t]+\S", re.M),
     "setext": re.compile(r"^[^\s|>#-][^\n]*\n(?:={3,}|-{3,})[ \t]*$", re.M),
     "strong": re.compile(r"\*\*(?=[^\s*])[^\n]*?[^\s*]\*\*|(?<!\w)__(?=[^\s_])[^\n_]*[^\s_]__(?!\w)"),
-    "em": re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*?[^\s*]\*(?![\w*])|(?<![\w\\])_(?=[^\s_])[^_\n]*?[^\s_]_(?!\w)"),
+    "em": re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*?[^\s*]\*(?![\w*])|(?<![\w\\})\]])_(?=[^\s_{])[^_\n]*?[^\s_]_(?![\w{])"),
     "strike": re.compile(r"~~(?=\S)[^~\n]+~~"),
     "fence": re.compile(r"^ {0,3}(?:```|~~~)", re.M),
     "code": re.compile(r"(?<!`)`[^`\n]+`(?!`)"),
@@ -421,7 +421,7 @@ def _from_markdown(s: str) -> str:
         line = re.sub(r"\*\*(?=[^\s*])([^\n]*?[^\s*])\*\*", r"\1", line)
         line = re.sub(r"(?<!\w)__(?=[^\s_])([^\n_]*[^\s_])__(?!\w)", r"\1", line)
         line = re.sub(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?[^\s*])\*(?![\w*])", r"\1", line)
-        line = re.sub(r"(?<![\w\\])_(?=[^\s_])([^_\n]*?[^\s_])_(?!\w)", r"\1", line)
+        line = re.sub(r"(?<![\w\\})\]])_(?=[^\s_{])([^_\n]*?[^\s_])_(?![\w{])", r"\1", line)
         line = re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", line)
         return re.sub(r"(?<!`)`([^`\n]+)`(?!`)", r"\1", line)
 

@@ -68,7 +68,7 @@ def test_blocks_give_the_same(spark):
 
 PLAIN = [
     "Here 3 * 3 < 5 * 32, so a < b holds.", "User #60 sees 2 * 62 copies.", "The matrix is [[1, 0], [0, 8]] when n > 23.", "The set {1, ..., 4} is used & kept for x_16.", "Since rank(H) == 3 and N < 40, this is tight.",
-    "We get $\\mathbf{x} \\text{ if } a < b$ and \\boxed{\\frac{a}{b}}.", "A line\n\nAnother line.", "It costs 5% of a*b*c and f_i(x_j).", "Let x' and y'' be given.", "", "a <b and c> d", "Step 1. Then 2.\nFinal answer: D", "1. one\n2. two",
+    "We get $\\mathbf{x} \\text{ if } a < b$ and \\boxed{\\frac{a}{b}}.", "A line\n\nAnother line.", "It costs 5% of a*b*c and f_i(x_j).", "Let x' and y'' be given.", "", "a <b and c> d", "Step 1. Then 2.\nFinal answer: D", "1. one\n2. two", "so that \\hat{x}_{k}+\\mathbf{h}_{m} holds, with ω_2 and (a)_(b)_ fixed",
 ]
 MARKED = [
     ("<p>One, two.</p><p>Three.</p>", "html", "One, two.\n\nThree."), ("a &amp; b &#8212; c", "html", "a & b — c"), ("<ol><li>a</li><li>b</li></ol>", "html", "1. a\n2. b"), ("<table><tr><th>s</th><th>r</th></tr><tr><td>1</td><td>$x<y$</td></tr></table>", "html", "s\tr\n1\t$x<y$"),
