@@ -7,6 +7,8 @@ that it is small; else both sides are shuffled on the n-gram.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,3 +162,35 @@ def flat(problems: DataFrame, documents: DataFrame, slices: list[str], n: int =
     wide = per.groupBy("problem_id").agg(*[F.sum(F.when(F.col("slice") == s, F.col(c))).alias(f"{c}_{s}") for s in slices for c in ("hits", "docs", "unique_ngrams")])
     base = problems.select("problem_id").join(wide, "problem_id", "left")
     return base.fillna(0)
+
+
+def corpus_set_size(documents: DataFrame, n: int = 13) -> DataFrame:
+    """Distinct and total n-grams per slice: the exact set of a corpus, built by a shuffle instead of in one memory."""
+    g = corpus_grams(documents, n).groupBy("slice", "g1", "g2").agg(F.count(F.lit(1)).alias("c"))
+    return g.groupBy("slice").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("c").alias("n_total"))
+
+
+def bloom_size(items: int, rate: float = 1e-4) -> tuple[int, int]:
+    """Bits and hash functions of a Bloom filter for so many items at this rate of false positives."""
+    bits = max(64, math.ceil(-items * math.log(rate) / math.log(2) ** 2))
+    return bits, max(1, round(bits / max(1, items) * math.log(2)))
+
+
+def bloom_probe(problems: DataFrame, documents: DataFrame, n: int = 13, items: int | None = None, rate: float = 1e-4) -> DataFrame:
+    """``problem_id``, ``hits_bloom``: n-gram places of a problem that a Bloom filter of the corpus holds, and ``fill`` of the filter.
+
+    Never fewer than the exact count; where ``items`` is too small for the
+    corpus the filter fills up and reports everything, which ``fill`` shows. The
+    set bits are rows, dealt by position. For estimates only: clean sets come
+    from the exact audit.
+    """
+    own = problems.select("problem_id", word_hashes("text").alias("hs")).select("problem_id", F.posexplode(gram_keys("hs", n)).alias("pos", "k")).select("problem_id", "pos", "k.g1", "k.g2")
+    grams = corpus_grams(documents, n).select("g1", "g2").distinct()
+    bits, k = bloom_size(items or max(1, grams.count()), rate)
+    spots = F.array(*[F.pmod(F.col("g1") + F.lit(i) * F.col("g2").cast("bigint"), F.lit(bits)) for i in range(k)])
+    on = stage_table(grams.select(F.explode(spots).alias("bit")).distinct(), "bloom")
+    fill = on.agg((F.count(F.lit(1)) / bits).alias("fill"))
+    asked = own.select("problem_id", "pos", F.explode(F.array_distinct(spots)).alias("bit"), F.size(F.array_distinct(spots)).alias("need"))
+    held = asked.join(on, "bit").groupBy("problem_id", "pos").agg(F.count(F.lit(1)).alias("have"), F.max("need").alias("need")).where("have = need")
+    per = held.groupBy("problem_id").agg(F.count(F.lit(1)).alias("h"))
+    return problems.select("problem_id").join(per, "problem_id", "left").join(F.broadcast(fill)).select("problem_id", F.coalesce("h", F.lit(0)).alias("hits_bloom"), "fill")

@@ -120,3 +120,9 @@ def view_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def file_manifest(df_binary: DataFrame) -> DataFrame:
     """``name``, ``bytes``, ``sha256`` of files read with the binaryFile source."""
     return df_binary.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def part_sums(parts: DataFrame, whole: str, part: str, total: int) -> DataFrame:
+    """Whether the counts ``part`` of the rows add up to ``total``: ``whole``, ``sum``, ``expected``, ``ok``."""
+    n = F.coalesce(F.sum(part), F.lit(0))
+    return parts.agg(F.lit(whole).alias("whole"), n.alias("sum"), F.lit(total).alias("expected"), (n == total).alias("ok"))

@@ -118,6 +118,14 @@ def audit_streaming(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("problem_id", "slice").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("docs"))
 
 
+def corpus_set_size(spark: SparkSession, d: str) -> DataFrame:
+    return audit.corpus_set_size(_docs(spark, d))
+
+
+def audit_bloom(spark: SparkSession, d: str) -> DataFrame:
+    return audit.bloom_probe(_problems(spark, d), _docs(spark, d)).select("problem_id", "hits_bloom")
+
+
 _SWEEP_SQL = "WITH pt AS (SELECT problem_id, " + text.tokens_sql("text") + " AS toks FROM problems_cc_by), dt AS (SELECT doc_id, " + text.tokens_sql("text") + " AS toks FROM documents), s AS (" + " UNION ALL ".join(
     f"""SELECT p.problem_id, {n} AS n, coalesce(d, 0)::BIGINT AS docs_total, coalesce(h, 0)::BIGINT AS hits_total, d IS NULL AS in_s0 FROM pt p LEFT JOIN (
   SELECT problem_id, count(DISTINCT doc_id) AS d, count(*) AS h FROM ({text.grams_sql('dt', 'doc_id', n)}) JOIN (SELECT DISTINCT problem_id, g FROM ({text.grams_sql('pt', 'problem_id', n)})) USING (g) GROUP BY 1) x USING (problem_id)"""
@@ -140,6 +148,8 @@ QUERIES = {
     "audit_flat": audit_flat,
     "audit_drift": audit_drift,
     "probe_size": probe_size,
+    "corpus_set_size": corpus_set_size,
+    "audit_bloom": audit_bloom,
     "ngram_counts": ngram_counts,
     "n_sweep_membership": n_sweep,
     "n_sweep_flip": n_sweep_flip,
@@ -167,6 +177,7 @@ hit AS""") + " SELECT problem_id, slice, rank::INT AS rank, doc_id, pos::BIGINT
     "audit_flat": _A13 + " SELECT pt.problem_id, " + ", ".join(f"coalesce(sum({c}) FILTER (slice = '{s}'), 0)::BIGINT AS {c}_{s}" for s in ("preprint_dump", "wiki_mirror", "exam_archive") for c in ("hits", "docs", "unique_ngrams")) + " FROM pt LEFT JOIN per USING (problem_id) GROUP BY 1",
     "audit_drift": _A13 + """, old AS (SELECT problem_id, docs_total AS docs_then, in_s0 AS s0_then, row_number() OVER (PARTITION BY problem_id ORDER BY audited_at DESC, coalesce(hits_total, -1) DESC) AS r FROM contamination_audit WHERE problem_id IS NOT NULL)
 SELECT audit.problem_id, docs_then, docs_total AS docs_now, s0_then, in_s0 AS s0_now FROM audit LEFT JOIN (SELECT * FROM old WHERE r = 1) o USING (problem_id)""",
+    "corpus_set_size": _A13 + " SELECT slice, count(DISTINCT g) AS n_distinct, count(*) AS n_total FROM grams GROUP BY 1",
     "probe_size": _A13 + " SELECT count(DISTINCT g) AS n_grams, count(*) AS n_pairs, count(DISTINCT problem_id) AS n_problems FROM probe",
     "ngram_counts": f"WITH pt AS (SELECT problem_id, {text.tokens_sql('text')} AS toks FROM problems_cc_by) SELECT problem_id, len(toks)::BIGINT AS n_words, " + ", ".join(f"greatest(len(toks) - {n - 1}, 0)::BIGINT AS n{n}" for n in audit.SWEEP) + " FROM pt",
     "n_sweep_membership": _SWEEP_SQL + " SELECT * FROM s",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,8 @@ def markdown_table(df: DataFrame, places: int = 4) -> str:
     rows = df.collect()
     cell = lambda v: "" if v is None else f"{v:.{places}f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
+
+
+def stats_json(frames: dict[str, DataFrame]) -> str:
+    """Release statistics as JSON: each frame, a small result table, as a list of records."""
+    return json.dumps({k: [r.asDict(recursive=True) for r in df.collect()] for k, df in frames.items()}, sort_keys=True, default=str)

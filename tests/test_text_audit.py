@@ -88,3 +88,23 @@ def test_stream_equals_batch(spark, sf):
     key = ["problem_id", "slice", "hits", "docs"]
     rows = lambda df: sorted(map(tuple, df.select(*key).collect()))
     assert rows(audit_queries.audit_streaming(spark, sf)) == rows(audit_queries.audit_by_source(spark, sf))
+
+
+def test_bloom_never_misses(spark, sf):
+    from benchsieve.plans import audit_queries
+
+    p, d = audit_queries._problems(spark, sf), audit_queries._docs(spark, sf)
+    exact = {r["problem_id"]: r["c"] for r in audit.corpus_grams(p.withColumnRenamed("problem_id", "doc_id").withColumn("slice", audit.F.lit("")), 13).join(audit.corpus_grams(d, 13).select("g1", "g2").distinct(), ["g1", "g2"], "left_semi").groupBy("doc_id").agg(audit.F.count("*").alias("c")).withColumnRenamed("doc_id", "problem_id").collect()}
+    got = {r["problem_id"]: r for r in audit.bloom_probe(p, d).collect()}
+    assert all(got[k]["hits_bloom"] >= v for k, v in exact.items()) and sum(r["hits_bloom"] for r in got.values()) <= sum(exact.values()) * 1.02 + 2
+    full = audit.bloom_probe(p, d, items=50).first()
+    assert full["fill"] > 0.99
+
+
+def test_stats_json_and_sums(spark):
+    from benchsieve.operators import release
+    from benchsieve.sources import sinks
+
+    df = spark.createDataFrame([(2, "a"), (3, "b")], "n int, k string")
+    assert sinks.stats_json({"t": df}) == '{"t": [{"k": "a", "n": 2}, {"k": "b", "n": 3}]}'
+    assert release.part_sums(df, "t", "n", 5).first()["ok"]
