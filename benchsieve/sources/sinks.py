@@ -20,7 +20,7 @@ def write_flat_csv(df: DataFrame, path: str) -> None:
 
 def fixed(c: str, places: int, sign: bool = False):
     """A number with so many places, half to even, signed if asked."""
-    return F.format_string(f"%{'+' if sign else ''}.{places}f", F.bround(c, places))
+    return F.format_string(f"%{'+' if sign else ''}.{places}f", F.bround(F.col(c).cast("double"), places))
 
 
 def summary(audited: DataFrame, floor: int = 150) -> str:
