@@ -146,11 +146,12 @@ class ShingleIndex:
 
     Every shingle that at most ``common`` texts share is an anchor; of those
     shared by more, the rarest of each six in a row stays one too, so that no
-    stretch of any text is left without anchors. The words of ``contexts`` are
-    known to the index too, but no anchors.
+    stretch of any text is left without anchors. With ``common`` None every
+    shingle is an anchor. The words of ``contexts`` are known to the index too,
+    but no anchors.
     """
 
-    def __init__(self, keys: list[str], texts: Iterable[str | None], common: int = 64, contexts: Iterable[str | None] = ()) -> None:
+    def __init__(self, keys: list[str], texts: Iterable[str | None], common: int | None = 64, contexts: Iterable[str | None] = ()) -> None:
         self.keys = keys
         self.vocabulary: dict[str, int] = {}
         words = Words(self.vocabulary, grow=True)
@@ -177,11 +178,11 @@ class ShingleIndex:
         if len(key):
             _, back, share = np.unique(key, return_inverse=True, return_counts=True)
             share = share[back]
-            keep = (share <= common) & (key >= 0)
+            keep = (key >= 0) & (True if common is None else share <= common)
             at = 0
             for n in lens[lens > 0]:
                 s = np.where(key[at : at + n] >= 0, share[at : at + n], len(key) + 1)
-                if not keep[at : at + n].all():
+                if common is not None and not keep[at : at + n].all():
                     for i in range(0, int(n), 6):
                         j = i + int(s[i : i + 6].argmin())
                         keep[at + j] = key[at + j] >= 0

@@ -4,6 +4,7 @@ The content-word n-grams of the evaluation records (three content words in a
 row, which span five running words and more) are hashed and broadcast in
 bounded blocks; the training records are scanned for hits, and for each pair
 with hits the containment of either question in the whole other record decides.
+No window is left out, however many records share it.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0
     schema = "eval_key string, train_key string, hits int, eval_contained double, train_contained double"
     found: list[DataFrame] = []
     for rows in query_blocks(evaluation.select("key", "body", "context").where("body is not null")):
-        shared = broadcast_index(spark, rows)
+        shared = broadcast_index(spark, rows, common=None)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value

@@ -30,7 +30,7 @@ def query_blocks(queries: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator
             yield rows
 
 
-def broadcast_index(spark: SparkSession, rows: list):
+def broadcast_index(spark: SparkSession, rows: list, common: int | None = 64):
     """A broadcast ``ShingleIndex`` of the second field of ``rows``, keyed by the first; a third field is context."""
     contexts = [r[2] for r in rows] if rows and len(rows[0]) > 2 else []
-    return spark.sparkContext.broadcast(ShingleIndex([r[0] for r in rows], [r[1] for r in rows], contexts=contexts))
+    return spark.sparkContext.broadcast(ShingleIndex([r[0] for r in rows], [r[1] for r in rows], common, contexts))

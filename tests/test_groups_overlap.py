@@ -111,3 +111,21 @@ def test_cross_split(spark):
     want = {tuple(sorted((a, b))) for a in ("1", "9") for b in ("2", "3", "4")} | {tuple(sorted(("10", "5")))}
     assert got == want
     assert crosssplit.cross_split_pairs(p.limit(0)).count() == 0
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame(rows, "key string, body string, context string")
+
+
+def test_hot_groups_keep_every_pair(spark):
+    """Near-copies in numbers beyond what a rare window may have."""
+    short = "Derive the smallest covariance margin reached when every passive relay transmits jointly."
+    slip = short.replace("smallest", "largest")
+    ev = [(f"e{i}", short, f"Background remark number{i} about topic{i}.") for i in range(100)]
+    got = {(r["eval_key"], r["train_key"]) for r in crosssplit.near_pairs(keyed(spark, ev), keyed(spark, [("t", short, None), ("u", slip, None)])).collect()}
+    assert got == {(f"e{i}", t) for i in range(100) for t in "tu"}
+    spread = A
+    for i, w in enumerate(("region", "weighted", "largest")):
+        spread = spread.replace(w, f"slipped{i}")
+    got = crosssplit.near_pairs(keyed(spark, [(f"e{i}", A, f"About topic{i}.") for i in range(100)]), keyed(spark, [("t", spread, None)]))
+    assert got.count() == 100
