@@ -4,7 +4,8 @@ The content-word n-grams of the evaluation records (three content words in a
 row, which span five running words and more) are hashed and broadcast in
 bounded blocks; the training records are scanned for hits, and for each pair
 with hits the containment of either question in the whole other record decides.
-No window is left out, however many records share it.
+No window is left out, however many records share it. Short questions, whose
+windows a few slips can all destroy, are looked for by their rarest words.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from benchsieve.functions.words import FIRST_WORD, UNKNOWN, ShingleIndex, Words
 from benchsieve.operators.overlap import broadcast_index, query_blocks
 
 EVALUATION = ("test", "validation")
+#: Bodies of fewer content words need but one window; under ``FEW`` none, and so do Han bodies under ``FEW_HAN`` signs.
+SHORT, FEW, FEW_HAN = 30, 20, 120
+#: Bodies of fewer content words do not state a problem by themselves: the whole records must agree too.
+BARE = 5
 
 
 def _bag(ids: np.ndarray, index: ShingleIndex) -> Counter:
@@ -36,6 +41,20 @@ def _bag(ids: np.ndarray, index: ShingleIndex) -> Counter:
     return bag
 
 
+def _prefix(bags: dict[int, Counter], similarity: float) -> dict[int, list[int]]:
+    """Word to the texts whose rarest words it is among: a record that holds ``similarity`` of a bag holds one of them."""
+    df = Counter(w for bag in bags.values() for w in bag)
+    post: dict[int, list[int]] = {}
+    for t, bag in bags.items():
+        left = int((1 - similarity) * sum(bag.values()) + 1e-9) + 1
+        for w in sorted(bag, key=lambda w: (df[w], w)):
+            post.setdefault(w, []).append(t)
+            left -= bag[w]
+            if left <= 0:
+                break
+    return post
+
+
 def _contained(a: Counter, b: Counter) -> float:
     n = sum(a.values())
     return sum(min(v, b[w]) for w, v in a.items() if w >= 0 and w in b) / n if n else 0.0
@@ -48,8 +67,10 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0
     body of either record is contained in the other record, context and all, to
     at least ``similarity`` of its content words: a context may be missing or
     moved into the body, and sharing only a context is not enough. Sentence
-    order, case, layout and notation do not matter. Records whose body has no
-    words match nothing; rows with equal keys are compared each; empty tables
+    order, case, layout and notation do not matter. A body of fewer than ``BARE``
+    content words says too little, so then one whole record must be contained in
+    the other too. ``hits`` is the number of shared windows, which may be none for
+    short bodies. Records whose body has no content words match nothing; rows with equal keys are compared each; empty tables
     give no rows. Training records are scanned where they are, without a shuffle.
     """
     spark = training.sparkSession
@@ -70,29 +91,39 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0
                     bags[t] = (_bag(own, index), _bag(np.concatenate((index.context_words[t].astype(np.int64), own)), index))
                 return bags[t]
 
+            size = np.array([int(index.content[w].sum()) for w in index.words])
+            han = np.array([2 * int(index.han[w].sum()) for w in index.words]) > 0.6 * size
+            few = (size < FEW) | (han & (size < FEW_HAN))
+            post = _prefix({t: evaluated(t)[0] for t in np.flatnonzero(few).tolist()}, similarity)
+            need = np.where(size < SHORT, 1, min_hits)
+
             for b in batches:
                 out = []
                 for key, body, context in zip(b["key"], b["body"], b["context"]):
                     own = reader.read(body)
                     whole = np.concatenate((reader.read(context), own))
                     text, place, _, _ = index.hits(whole)
-                    if len(text) < min_hits:
-                        continue
-                    pairs = np.unique(np.stack((text, place)), axis=1)[0]
+                    pairs = np.unique(text * (1 << 32) + place) >> 32
                     near, hits = np.unique(pairs, return_counts=True)
-                    if not (hits >= min_hits).any():
-                        continue
+                    enough = hits >= need[near]
                     bag, bag_whole = _bag(own, index), _bag(whole, index)
-                    for t, n in zip(near.tolist(), hits.tolist()):
-                        if n < min_hits:
-                            continue
+                    n_hits = dict(zip(near[enough].tolist(), hits[enough].tolist()))
+                    if post:
+                        count = dict(zip(near.tolist(), hits.tolist()))
+                        for w in bag_whole:
+                            for t in post.get(w, ()):
+                                n_hits.setdefault(t, count.get(t, 0))
+                    for t, n in n_hits.items():
                         e, e_whole = evaluated(t)
                         c1 = _contained(e, bag_whole)
                         if c1 < similarity:
                             continue
                         c2 = _contained(bag, e_whole)
-                        if c2 >= similarity:
-                            out.append((index.keys[t], key, n, c1, c2))
+                        if c2 < similarity:
+                            continue
+                        if min(e.total(), bag.total()) < BARE and max(_contained(e_whole, bag_whole), _contained(bag_whole, e_whole)) < similarity:
+                            continue
+                        out.append((index.keys[t], key, n, c1, c2))
                 yield pd.DataFrame(out, columns=["eval_key", "train_key", "hits", "eval_contained", "train_contained"])
 
         found.append(rows_in.mapInPandas(run, schema))

@@ -129,3 +129,11 @@ def test_hot_groups_keep_every_pair(spark):
         spread = spread.replace(w, f"slipped{i}")
     got = crosssplit.near_pairs(keyed(spark, [(f"e{i}", A, f"About topic{i}.") for i in range(100)]), keyed(spark, [("t", spread, None)]))
     assert got.count() == 100
+
+
+def test_short_questions(spark):
+    ask = "Find the rate $R$."
+    ev = [("e", ask, A), ("f", "Find the outage probability floor.", None)]
+    tr = [("same", ask, A), ("moved", A + " " + ask, None), ("other", ask, "A stale steering vector uses a step size under a cooperative interference constraint and a limited subcarrier."), ("g", "find the OUTAGE probability floor", None)]
+    got = {(r["eval_key"], r["train_key"]) for r in crosssplit.near_pairs(keyed(spark, ev), keyed(spark, tr)).collect()}
+    assert got == {("e", "same"), ("e", "moved"), ("f", "g")}
