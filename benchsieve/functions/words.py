@@ -117,6 +117,10 @@ WORD_BITS = 21
 HAN_RUN = 8
 
 
+#: Signs of padding before and after each text in ``ShingleIndex.flat``.
+PAD = 16
+
+
 def shingles(content: np.ndarray, han: np.ndarray | None = None) -> np.ndarray:
     """Keys of three content words in a row; -1 where one of them is unknown.
 
@@ -165,6 +169,12 @@ class ShingleIndex:
             self.content[n] = is_content(w)
             self.han[n] = len(w) == 1 and "㐀" <= w <= "鿿"
         self.content_at = [np.flatnonzero(self.content[w]) for w in self.words]
+        #: the content words of all texts in one array, padded with -8, and where each text starts
+        self.flat_start = np.cumsum([PAD] + [len(c) + PAD for c in self.content_at])[:-1] if self.words else np.zeros(0, dtype=np.int64)
+        self.flat = np.full(sum(len(c) + PAD for c in self.content_at) + PAD, -8, dtype=np.int32)
+        for at, w, c in zip(self.flat_start, self.words, self.content_at):
+            self.flat[at : at + len(c)] = w[c]
+        self.told = self._told()
         keyed: list[np.ndarray] = []
         for w in self.words:
             c = w[self.content[w]].astype(np.int64)
@@ -193,6 +203,22 @@ class ShingleIndex:
         order = np.argsort(key, kind="stable")
         self.key, self.text, self.place = key[order], text[order].astype(np.int32), place[order].astype(np.int32)
 
+    def _told(self) -> list[np.ndarray]:
+        """Bits that each content word tells beside its neighbours, over all texts: few for the fixed words of a template."""
+        w = self.flat.astype(np.int64)
+        if not len(self.words):
+            return []
+        n = np.bincount(np.maximum(w, 0))
+        both, back, times = np.unique((w[:-1] << 32) + w[1:], return_inverse=True, return_counts=True)
+        times = times[back]
+        bits = np.full((2, len(w)), 8.0)
+        pair = (w[:-1] >= 0) & (w[1:] >= 0)
+        at = np.flatnonzero(pair)
+        bits[0, at + 1] = np.log2((n[w[at]] + 4) / times[at])
+        bits[1, at] = np.log2((n[w[at + 1]] + 4) / times[at])
+        self.flat_told = np.where(w >= 0, np.clip(bits.min(axis=0), 0, 8), 0).astype(np.float32)
+        return [self.flat_told[a : a + len(c)] for a, c in zip(self.flat_start, self.content_at)]
+
     def reader(self) -> Words:
         return Words(self.vocabulary, grow=False)
 

@@ -48,6 +48,15 @@ def test_leaks_edges(spark):
     assert {tuple(r) for r in rep.collect()} == {("i", 9, 2, False), ("j", 0, 0, True)}
 
 
+def test_differing_content_words(spark):
+    """One word in eight differs, and all of these are content words."""
+    words = ITEM.split()[:21]  # the last is the unit of a number
+    for a, b in (("noisy", "linear"), ("serves", "weighted"), ("region", "sample"), ("field", "channel")):
+        part = " ".join({a: "lossy", b: "stale"}.get(w, w) for w in words)
+        assert found(spark, [FILL * 3 + part + ". " + FILL * 3]) == {(0, "i")}, (a, b)
+    assert found(spark, [FILL + ITEM.replace("noisy rate region", "stale base station").replace("linear field sample", "passive outage event")[:150]]) == set()
+
+
 def test_best_span():
     rng = np.random.default_rng(0)
     for _ in range(300):
