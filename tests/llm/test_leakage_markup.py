@@ -57,6 +57,15 @@ def test_differing_content_words(spark):
     assert found(spark, [FILL + ITEM.replace("noisy rate region", "stale base station").replace("linear field sample", "passive outage event")[:150]]) == set()
 
 
+def test_stretch_shared_by_many_items(spark):
+    """The passage lies where over 64 items agree, the rest of each is its own."""
+    part = " ".join(ITEM.split()[:26])
+    rare = lambda k: " ".join(f"own{'abcdefghij'[j]}word{k}x the" for j in range(10))
+    items = [(f"i{k}", f"{part}. {rare(k)}.") for k in range(100)]
+    doc = part.replace("noisy", "lossy").replace("weighted", "stale")
+    assert found(spark, [FILL * 3 + doc + ". " + FILL * 3], items) == {(0, k) for k, _ in items}
+
+
 def test_best_span():
     rng = np.random.default_rng(0)
     for _ in range(300):
