@@ -102,6 +102,12 @@ def audit_flat(spark: SparkSession, d: str) -> DataFrame:
     return audit.flat(_problems(spark, d), _docs(spark, d), ["preprint_dump", "wiki_mirror", "exam_archive"])
 
 
+def audit_flat_all(spark: SparkSession, d: str) -> DataFrame:
+    """The flat audit over every source of the documents, a bounded list; ``audit_flat`` is the part that SQL repeats."""
+    sources = [r["slice"] for r in _docs(spark, d).select("slice").where("slice is not null").distinct().orderBy("slice").collect()]
+    return audit.flat(_problems(spark, d), _docs(spark, d), sources)
+
+
 def audit_drift(spark: SparkSession, d: str) -> DataFrame:
     """Archived audit rows, newest per problem, beside the present corpus: which flags moved."""
     a = read(spark, d, "contamination_audit").where("problem_id is not null")
@@ -146,6 +152,7 @@ QUERIES = {
     "audit_hist_hits": audit_hist_hits,
     "audit_gate": audit_gate,
     "audit_flat": audit_flat,
+    "audit_flat_all": audit_flat_all,
     "audit_drift": audit_drift,
     "probe_size": probe_size,
     "corpus_set_size": corpus_set_size,

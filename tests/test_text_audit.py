@@ -108,3 +108,14 @@ def test_stats_json_and_sums(spark):
     df = spark.createDataFrame([(2, "a"), (3, "b")], "n int, k string")
     assert sinks.stats_json({"t": df}) == '{"t": [{"k": "a", "n": 2}, {"k": "b", "n": 3}]}'
     assert release.part_sums(df, "t", "n", 5).first()["ok"]
+
+
+def test_flat_has_every_source(spark, sf):
+    from benchsieve.plans import audit_queries as q
+
+    rows = q.audit_flat_all(spark, sf).collect()
+    want = {(r["problem_id"], r["slice"]): (r["hits"], r["docs"], r["unique_ngrams"]) for r in q.audit_by_source(spark, sf).collect()}
+    sources = {r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()}
+    assert want and {c[len("hits_"):] for c in rows[0].asDict() if c.startswith("hits_")} == sources
+    got = {(r["problem_id"], s): tuple(r[f"{c}_{s}"] for c in ("hits", "docs", "unique_ngrams")) for r in rows for s in sources}
+    assert {k: v for k, v in got.items() if any(v)} == want
