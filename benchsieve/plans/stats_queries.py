@@ -11,7 +11,8 @@ from benchsieve.operators import audit, inference, release, verdicts
 from benchsieve.plans import audit_queries
 from benchsieve.session import read, spread
 
-B = 60  # replicates of the bootstrap queries
+B = 60  # replicates of the bootstrap queries that SQL repeats
+B_WHOLE = 10_000  # replicates of the whole job, those of the reference
 
 
 def _v(spark: SparkSession, d: str, keep: str = "last") -> DataFrame:
@@ -116,6 +117,27 @@ def spearman_ci(s, d):
     return inference.holm(inference.spearman_ci(p, "x", "is_correct", B), "p", ["model"])
 
 
+def _inside(s, d) -> DataFrame:
+    """Verdicts with ``inside``: the problem is of the paper-disjoint test."""
+    own = _disjoint(s, d).where("problem_id is not null").distinct().withColumn("inside", F.lit(True))
+    return _v(s, d).join(own, "problem_id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
+def spearman_ci_whole(s, d):
+    v = _v(s, d).withColumn("x", F.array_position(F.array(*map(F.lit, verdicts.BUCKETS)), verdicts.bucket("hits_total")).cast("int"))
+    return inference.holm(inference.spearman_ci(v, "x", "is_correct", B_WHOLE), "p", ["model"])
+
+
+def pair_matrix_whole(s, d):
+    p = _panel(s, d)
+    return inference.pair_matrix(verdicts.complete_cases(p), verdicts.complete_cases(p.where("in_s0")), B_WHOLE)
+
+
+def headline_pairs_whole(s, d):
+    p = verdicts.complete_cases(_panel(s, d).where("in_s0"))
+    return inference.bonferroni(inference.pair_table(p, B_WHOLE, anchor="click"), "p")
+
+
 def boot_pair_acc(s, d):
     return inference.replicate_accuracy(verdicts.complete_cases(_panel(s, d)), B)
 
@@ -277,6 +299,13 @@ QUERIES = {
     "boot_delta_ci": lambda s, d: inference.delta_ci(_panel(s, d), "in_s0", B),
     "boot_single_ci": lambda s, d: inference.single_ci(_panel(s, d), B),
     "boot_two_sample_ci": lambda s, d: inference.two_sample_ci(_panel(s, d), B),
+    "boot_delta_ci_whole": lambda s, d: inference.delta_ci(_v(s, d), "in_s0", B_WHOLE),
+    "boot_single_ci_whole": lambda s, d: inference.single_ci(_v(s, d), B_WHOLE),
+    "boot_two_sample_ci_whole": lambda s, d: inference.two_sample_ci(_inside(s, d), B_WHOLE),
+    "boot_pair_acc_whole": lambda s, d: inference.replicate_accuracy(verdicts.complete_cases(_panel(s, d)), B_WHOLE),
+    "pair_matrix_whole": pair_matrix_whole,
+    "headline_pairs_whole": headline_pairs_whole,
+    "spearman_ci_whole": spearman_ci_whole,
     "boot_numpy_like": lambda s, d: inference.numpy_like(_panel(s, d), "in_s0", 1000),
     "split_membership_classes": lambda s, d: release.paper_classes(read(s, d, "problems_cc_by")),
     "type_split_counts": lambda s, d: release.type_split_counts(read(s, d, "problems_cc_by")),

@@ -102,3 +102,20 @@ def test_greedy_split_overshoots_but_never_tears(spark):
 def test_era_and_months(spark):
     df = spark.createDataFrame([("1804.90001",), ("9912.90001v2",), ("bad",)], "p string")
     assert [r[0] for r in df.select(release.year_month("p")).collect()] == [201804, 199912, None]
+
+
+def test_whole_bootstrap_is_of_every_model(spark, sf):
+    """10,000 replicates on the models of cleaned_jsonl, near numpy's own intervals."""
+    from benchsieve.plans import stats_queries as q
+
+    v = q._v(spark, sf).toPandas()
+    got = {r["model"]: r for r in q.QUERIES["boot_single_ci_whole"](spark, sf).collect()}
+    assert len(got) == v["model"].nunique() > 5
+    rng = np.random.default_rng(1)
+    for model, g in v.groupby("model"):
+        x = g["is_correct"].to_numpy(float)
+        lo, hi = np.quantile(100 * x[rng.integers(0, len(x), (10_000, len(x)))].mean(axis=1), [0.025, 0.975])
+        step = 100 / len(x) + 1e-6
+        assert abs(got[model]["lo"] - lo) <= step and abs(got[model]["hi"] - hi) <= step
+    least = [r["replicates"] for r in q.QUERIES["boot_delta_ci_whole"](spark, sf).collect()]
+    assert len(least) == len(got) and 9_000 < max(least) <= 10_000
