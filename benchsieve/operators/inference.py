@@ -172,3 +172,42 @@ def numpy_like(verdicts: DataFrame, subset: str, replicates: int, seed: int = 0)
         return pd.DataFrame({"model": [b["model"].iloc[0]], "replicates": [len(d)], "lo": [lo], "hi": [hi]})
 
     return verdicts.select("model", "problem_id", "is_correct", F.col(subset).alias("s")).groupBy("model").applyInPandas(run, "model string, replicates bigint, lo double, hi double")
+
+
+def by_cells(verdicts: DataFrame, kind: str, x: str, y: str = "is_correct", replicates: int = 10_000, seed: int = 0) -> DataFrame:
+    """Intervals of ``delta``, ``single``, ``two_sample`` or ``spearman`` per model, with many replicates.
+
+    These depend only on how many items have each pair of values ``x``, ``y``, and
+    resampled items fall into these cells by a multinomial draw (one a side for
+    ``two_sample``), so a replicate costs as much as there are cells.
+    """
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["x", "y"])
+        cx, cy, k = b["x"].to_numpy(float), b["y"].to_numpy(float), b["k"].to_numpy(np.int64)
+        rng = np.random.default_rng(seed)
+        draws = lambda k: rng.multinomial(k.sum(), k / k.sum(), size=replicates)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if kind == "two_sample":
+                a, r = cx > 0, cx <= 0
+                d = draws(k[a]) @ cy[a] / k[a].sum() - draws(k[r]) @ cy[r] / k[r].sum() if a.any() and r.any() else np.zeros(0)
+            else:
+                m = draws(k)
+                n = k.sum()
+                if kind == "single":
+                    d = 100 * (m @ cy) / n
+                elif kind == "delta":
+                    d = (m @ cy) / n - (m @ (cx * cy)) / (m @ cx)
+                else:
+                    ranks = [sum(m[:, c == v].sum(1)[:, None] * (np.where(c > v, 1.0, 0.0) + np.where(c == v, 0.5, 0.0)) for v in np.unique(c)) + 0.5 for c in (cx, cy)]
+                    dx, dy = (r - (n + 1) / 2 for r in ranks)
+                    d = (m * dx * dy).sum(1) / np.sqrt((m * dx * dx).sum(1) * (m * dy * dy).sum(1))
+        d = d[np.isfinite(d)]
+        if not len(d):
+            return pd.DataFrame({"model": [], "replicates": [], "lo": [], "hi": [], "max_abs": [], "p": []})
+        lo, hi = np.quantile(d, [ALPHA / 2, 1 - ALPHA / 2])
+        p = min(1.0, max(2 * min((d <= 0).sum(), (d >= 0).sum()) / len(d), 1 / (len(d) + 1)))
+        return pd.DataFrame({"model": [b["model"].iloc[0]], "replicates": [len(d)], "lo": [round(lo, 9)], "hi": [round(hi, 9)], "max_abs": [round(np.abs(d).max(), 9)], "p": [p]})
+
+    cells = verdicts.groupBy("model", F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("k"))
+    return cells.groupBy("model").applyInPandas(run, "model string, replicates bigint, lo double, hi double, max_abs double, p double")

@@ -125,7 +125,7 @@ def _inside(s, d) -> DataFrame:
 
 def spearman_ci_whole(s, d):
     v = _v(s, d).withColumn("x", F.array_position(F.array(*map(F.lit, verdicts.BUCKETS)), verdicts.bucket("hits_total")).cast("int"))
-    return inference.holm(inference.spearman_ci(v, "x", "is_correct", B_WHOLE), "p", ["model"])
+    return inference.holm(inference.by_cells(v, "spearman", "x", replicates=B_WHOLE).drop("max_abs"), "p", ["model"])
 
 
 def pair_matrix_whole(s, d):
@@ -299,9 +299,9 @@ QUERIES = {
     "boot_delta_ci": lambda s, d: inference.delta_ci(_panel(s, d), "in_s0", B),
     "boot_single_ci": lambda s, d: inference.single_ci(_panel(s, d), B),
     "boot_two_sample_ci": lambda s, d: inference.two_sample_ci(_panel(s, d), B),
-    "boot_delta_ci_whole": lambda s, d: inference.delta_ci(_v(s, d), "in_s0", B_WHOLE),
-    "boot_single_ci_whole": lambda s, d: inference.single_ci(_v(s, d), B_WHOLE),
-    "boot_two_sample_ci_whole": lambda s, d: inference.two_sample_ci(_inside(s, d), B_WHOLE),
+    "boot_delta_ci_whole": lambda s, d: inference.by_cells(_v(s, d), "delta", "in_s0", replicates=B_WHOLE).drop("p"),
+    "boot_single_ci_whole": lambda s, d: inference.by_cells(_v(s, d), "single", "in_s0", replicates=B_WHOLE).select("model", "lo", "hi"),
+    "boot_two_sample_ci_whole": lambda s, d: inference.by_cells(_inside(s, d), "two_sample", "inside", replicates=B_WHOLE).select("model", "lo", "hi"),
     "boot_pair_acc_whole": lambda s, d: inference.replicate_accuracy(verdicts.complete_cases(_panel(s, d)), B_WHOLE),
     "pair_matrix_whole": pair_matrix_whole,
     "headline_pairs_whole": headline_pairs_whole,

@@ -119,3 +119,14 @@ def test_whole_bootstrap_is_of_every_model(spark, sf):
         assert abs(got[model]["lo"] - lo) <= step and abs(got[model]["hi"] - hi) <= step
     least = [r["replicates"] for r in q.QUERIES["boot_delta_ci_whole"](spark, sf).collect()]
     assert len(least) == len(got) and 9_000 < max(least) <= 10_000
+
+
+def test_cells_give_what_items_give(spark):
+    rng = np.random.default_rng(3)
+    x, y, inside = rng.integers(1, 4, 60), rng.integers(0, 2, 60), rng.integers(0, 2, 60)
+    v = spark.createDataFrame([("m", str(i), int(a), int(b), int(a == 1), bool(c)) for i, (a, b, c) in enumerate(zip(x, y, inside))], "model string, problem_id string, x int, is_correct int, s int, inside boolean")
+    for kind, col, slow in (
+        ("single", "s", inference.single_ci(v, 1500)), ("delta", "s", inference.delta_ci(v, "s", 1500)), ("two_sample", "inside", inference.two_sample_ci(v, 1500)), ("spearman", "x", inference.spearman_ci(v, "x", "is_correct", 1500)),
+    ):
+        a, b = inference.by_cells(v, kind, col).first(), slow.first()
+        assert abs(a["lo"] - b["lo"]) < 0.15 * (b["hi"] - b["lo"]) and abs(a["hi"] - b["hi"]) < 0.15 * (b["hi"] - b["lo"])
