@@ -204,10 +204,10 @@ def by_cells(verdicts: DataFrame, kind: str, x: str, y: str = "is_correct", repl
                     d = (m * dx * dy).sum(1) / np.sqrt((m * dx * dx).sum(1) * (m * dy * dy).sum(1))
         d = d[np.isfinite(d)]
         if not len(d):
-            return pd.DataFrame({"model": [], "replicates": [], "lo": [], "hi": [], "max_abs": [], "p": []})
+            return pd.DataFrame({"model": [b["model"].iloc[0]], "replicates": [0], "lo": [None], "hi": [None], "max_abs": [None], "p": [None]}).astype({c: float for c in ("lo", "hi", "max_abs", "p")})
         lo, hi = np.quantile(d, [ALPHA / 2, 1 - ALPHA / 2])
         p = min(1.0, max(2 * min((d <= 0).sum(), (d >= 0).sum()) / len(d), 1 / (len(d) + 1)))
         return pd.DataFrame({"model": [b["model"].iloc[0]], "replicates": [len(d)], "lo": [round(lo, 9)], "hi": [round(hi, 9)], "max_abs": [round(np.abs(d).max(), 9)], "p": [p]})
 
     cells = verdicts.groupBy("model", F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("k"))
-    return cells.groupBy("model").applyInPandas(run, "model string, replicates bigint, lo double, hi double, max_abs double, p double")
+    return cells.groupBy("model").applyInPandas(run, "model string, replicates bigint, lo double, hi double, max_abs double, p double").where("replicates > 0")
