@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from benchsieve.llm.tokens import TOKENIZER, count_tokens
-from benchsieve.operators.prefix import running_total
+from benchsieve.llm.prefix import running_total
 from benchsieve.session import stage_table
 
 #: Tokens in an output shard, about.

@@ -1,4 +1,4 @@
-"""Queries of the training-text operators."""
+"""Queries of the training-data operators."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchsieve.llm import chunking, leakage, markup, mixing, packing, pairs, truncation
+from benchsieve.functions.ids import paper_key
+from benchsieve.llm import chunking, crosssplit, groupsplit, leakage, markup, mixing, packing, pairs, truncation
 from benchsieve.session import read, spread, stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,18 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(_fields(spark, d), ["field_name", "record_key"], "value")
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return groupsplit.problem_groups(read(spark, d, "paper_disjoint_split_seed0"), read(spark, d, "problems_cc_by").select("problem_id", "paper_id"), read(spark, d, "source_paper_licenses"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d).where("n > 1").select("problem_id", "group_id")
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    return groupsplit.assign_splits(stage_table(_groups(spark, d), "groups"), read(spark, d, "paper_disjoint_split_seed0").select("problem_id", "type"))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     asked = pairs.questions_of(read(spark, d, "problems_cc_by"), read(spark, d, "external_items"))
     return pairs.mark_pairs(spread(read(spark, d, "cleaned_jsonl")), asked)
@@ -65,6 +78,26 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).where("defect is not null")
 
 
+def _problems(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read(spark, d, "problems_cc_by").select("problem_id", "paper_id", "split", "question_text", "background"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.cross_split_pairs(_problems(spark, d)).select("problem_id_a", "problem_id_b").distinct()
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and paper: pairs and leaking problems, also of the archived disjoint view."""
+    problems = _problems(spark, d)
+    pairs = crosssplit.cross_split_pairs(problems)
+    archived = read(spark, d, "paper_disjoint_test").select("problem_id").distinct().withColumn("archived", F.lit(True))
+    known = problems.select("problem_id", paper_key("paper_id").alias("paper_key"))
+    rows = pairs.join(known, pairs["eval_id"] == known["problem_id"]).drop("problem_id").join(archived, pairs["eval_id"] == archived["problem_id"], "left")
+    return rows.groupBy("eval_split", "paper_key").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_id").alias("n_problems"), F.countDistinct(F.when(F.col("archived"), F.col("eval_id"))).alias("n_archived_view")
+    )
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(read(spark, d, "documents").select("doc_id", "text", "source"))
 
@@ -96,7 +129,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_clean, p5_found, p5_pairs, p7_pack, p7_report, p8_uses, p8_shares, p8_arranged, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_clean, p4_found, p4_splits, p5_found, p5_pairs, p6_found, p6_report, p7_pack, p7_report, p8_uses, p8_shares, p8_arranged, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,7 +77,7 @@ def test_best_span():
 
 
 def test_blocks_give_the_same(spark):
-    from benchsieve.operators.overlap import query_blocks
+    from benchsieve.llm.overlap import query_blocks
 
     q = spark.createDataFrame([(str(i), "w" * 50) for i in range(40)], "k string, t string")
     blocks = list(query_blocks(q, 500))

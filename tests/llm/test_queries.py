@@ -6,7 +6,7 @@ pytest.importorskip("benchsieve.llm")
 
 from benchsieve.llm import queries
 
-FOUND = {"p1_found": ["response_id"], "p2_found": ["doc_id", "item_id"], "p3_found": ["field_name", "record_key"], "p5_found": ["response_id", "defect"]}
+FOUND = {"p1_found": ["response_id"], "p2_found": ["doc_id", "item_id"], "p3_found": ["field_name", "record_key"], "p4_found": ["problem_id", "group_id"], "p5_found": ["response_id", "defect"], "p6_found": ["problem_id_a", "problem_id_b"]}
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
