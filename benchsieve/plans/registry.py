@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchsieve.plans import algorithms, audit_queries, stats_queries
+from benchsieve.plans import audit_queries, stats_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**audit_queries.QUERIES, **stats_queries.QUERIES, **algorithms.QUERIES}
+    return {**audit_queries.QUERIES, **stats_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
