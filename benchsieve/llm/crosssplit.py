@@ -77,8 +77,8 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0
     rows_in = training.select("key", "body", "context").where("body is not null")
     schema = "eval_key string, train_key string, hits int, eval_contained double, train_contained double"
     found: list[DataFrame] = []
-    for rows in query_blocks(evaluation.select("key", "body", "context").where("body is not null")):
-        shared = broadcast_index(spark, rows, common=None)
+    for rows, _ in query_blocks(evaluation.select("key", "body", "context").where("body is not null")):
+        shared = broadcast_index(spark, rows)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +15,12 @@ from benchsieve.llm.words import ShingleIndex
 BLOCK_CHARS = 32_000_000
 
 
-def query_blocks(queries: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list]:
+def query_blocks(queries: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list, bool]]:
     """The rows of ``queries`` (key, text, more texts) in blocks of bounded size.
 
     ``queries`` is a stated query set, run against all rows block by block; a
-    block is what one pass over the scanned table holds in memory.
+    block is what one pass over the scanned table holds in memory. With each
+    comes whether it is the last.
     """
     key, *texts = queries.columns
     size = queries.select(F.sum(sum(F.coalesce(F.length(t), F.lit(0)) for t in texts)).alias("n")).first()["n"] or 0
@@ -27,10 +29,10 @@ def query_blocks(queries: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
         rows = part.orderBy(key).collect()
         if rows:
-            yield rows
+            yield rows, b == blocks - 1
 
 
-def broadcast_index(spark: SparkSession, rows: list, common: int | None = 64):
+def broadcast_index(spark: SparkSession, rows: list, slots: bool = False) -> Broadcast:
     """A broadcast ``ShingleIndex`` of the second field of ``rows``, keyed by the first; a third field is context."""
     contexts = [r[2] for r in rows] if rows and len(rows[0]) > 2 else []
-    return spark.sparkContext.broadcast(ShingleIndex([r[0] for r in rows], [r[1] for r in rows], common, contexts))
+    return spark.sparkContext.broadcast(ShingleIndex([r[0] for r in rows], [r[1] for r in rows], contexts, slots))

@@ -1,6 +1,7 @@
 """Problems 2 and 3."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ pytest.importorskip("benchsieve.llm")
 from pyspark.sql import functions as F
 
 from benchsieve.llm import leakage, markup
+from benchsieve.llm.words import ShingleIndex
 
 ITEM = (
     "Consider a noisy rate region that serves a linear field sample through a weighted feedback channel with $\\alpha_{k}$ held at 5.1 km. "
@@ -44,8 +46,69 @@ def test_leaks_edges(spark):
     assert found(spark, [FILL + ITEM], many) == {(0, k) for k, _ in many}
     near = [(f"i{k}", ITEM.replace("56", str(k)).replace("imperfect", f"imperfect{k}")) for k in range(150)]
     assert found(spark, [FILL + ITEM.replace("imperfect", "imperfect7")], near) == {(0, k) for k, _ in near}
-    rep = leakage.leak_report(spark.createDataFrame([("i", ITEM), ("j", "none")], "item_id string, item_text string"), spark.createDataFrame([(1, "i", 4), (2, "i", 5)], "doc_id bigint, item_id string, windows int"))
-    assert {tuple(r) for r in rep.collect()} == {("i", 9, 2, False), ("j", 0, 0, True)}
+    rep = leakage.leak_report(spark.createDataFrame([("i", ITEM), ("j", "none")], "item_id string, item_text string"), spark.createDataFrame([(1, "i", 4, "passage"), (2, "i", 5, "reparameterised")], "doc_id bigint, item_id string, windows int, kind string"))
+    assert {tuple(r) for r in rep.collect()} == {("i", 9, 2, 1, False), ("j", 0, 0, 0, True)}
+
+
+def kinds(spark, docs, items):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]): r["kind"] for r in leakage.find_shared(d, spark.createDataFrame(items, "item_id string, item_text string")).collect()}
+
+
+def test_slots_must_be_consistent(spark):
+    """A question with other values is found if each value stands for one other; values dealt at random leave a template."""
+    item = (
+        "Suppose 56 copies of the noisy equalizer with gain $g_1$ compete for the coherent payload of 12 bits, so that 56 copies need 12 bits and gain $g_1$ whenever the 31 relays hold $h_2$. "
+        "Find the largest throughput for which 31 relays with gain $g_1$ and level $h_2$ serve 56 copies of the cooperative interval at 12 bits."
+    )
+    values = ["56", "12", "31", "$g_1$", "$h_2$"]
+    other = dict(zip(values, ["83", "47", "95", "$q_7$", "$u_5$"]))
+    pattern = re.compile("|".join(map(re.escape, values)))
+    same = pattern.sub(lambda m: other[m[0]], item)
+    rng = random.Random(1)
+    mixed = pattern.sub(lambda m: f"$z_{{{rng.randrange(1000)}}}$" if "$" in m[0] else str(rng.randrange(100, 1000)), item)
+    got = kinds(spark, [FILL + item + FILL, FILL + same + FILL, FILL + mixed + FILL], [("i", item)])
+    assert got == {(0, "i"): "passage", (1, "i"): "reparameterised", (2, "i"): "template"}
+
+
+def test_contradictions():
+    bad = leakage.contradictions(np.array([1, 1, 2, 3, 1]), np.array([7, 7, 7, 3, 8]))
+    assert bad.tolist() == [False, False, True, False, True]
+
+
+def test_large_families_lose_no_item(spark):
+    """Items that all are near-copies of each other; each passage belongs to all of them."""
+    for n in (50, 200, 1000):
+        items = [(f"i{k}", ITEM.replace("imperfect", f"imperfect{k}q")) for k in range(n)]
+        assert found(spark, [FILL * 2 + ITEM + FILL], items) == {(0, k) for k, _ in items}
+
+
+def test_windows_of_very_many_items_come_in_parts():
+    index = ShingleIndex([str(k) for k in range(40)], [ITEM] * 40, slots=True)
+    ids = index.reader().read(ITEM + " " + ITEM)
+    whole = index.hits(ids)
+    rows = sorted(zip(*(x.tolist() for x in whole[:3])))
+    parts = list(index.hits_in_parts(ids, 300))
+    assert len(parts) > 2 and sorted(r for p in parts for r in zip(*(x.tolist() for x in p[:3]))) == rows
+    assert all(set(a[0]).isdisjoint(b[0]) for i, a in enumerate(parts) for b in parts[:i])
+
+
+def test_spans_are_those_of_best_span():
+    rng = np.random.default_rng(2)
+    size = rng.integers(1, 30, 200)
+    head = np.cumsum(size) - size
+    hit = rng.random(int(size.sum())) < 0.8
+    i, j = leakage.spans(hit, head, size, 86)
+    for a, n, x, y in zip(head, size, i, j):
+        p, q = leakage.best_span(hit[a : a + n], 0.86)
+        assert q - p == y - x and hit[a + x : a + y].sum() >= 0.86 * (y - x) - 1e-9
+
+
+def test_long_remark_and_repeated_item(spark):
+    words = ITEM.split()
+    remark = "(" + " ".join(f"remark{i}" for i in range(30)) + ")"
+    docs = [FILL + " ".join(words[:18]) + " " + remark + " " + " ".join(words[18:36]) + ". " + FILL, (" ".join(words[:9]) + " ") * 30 + FILL * 3 + ITEM + " " + (" ".join(words[:9]) + " ") * 30]
+    assert found(spark, docs) == {(0, "i"), (1, "i")}
 
 
 def test_differing_content_words(spark):
@@ -81,7 +144,8 @@ def test_blocks_give_the_same(spark):
 
     q = spark.createDataFrame([(str(i), "w" * 50) for i in range(40)], "k string, t string")
     blocks = list(query_blocks(q, 500))
-    assert len(blocks) > 2 and sorted(r[0] for b in blocks for r in b) == sorted(str(i) for i in range(40))
+    assert len(blocks) > 2 and sorted(r[0] for b, _ in blocks for r in b) == sorted(str(i) for i in range(40))
+    assert [last for _, last in blocks] == [False] * (len(blocks) - 1) + [True]
 
 
 PLAIN = [
