@@ -7,15 +7,18 @@ text column and gives the text without it. Formulas between dollar signs, in
 Form of the clean text: a heading stands on a line of its own between blank
 lines; list items start with ``- `` or ``1. ``; the cells of a table row are
 joined by tabs; code lines are indented by four spaces. Text without markup is
-left exactly as it was. Where a text is an HTML page, the container is chosen by
-tree scoring: paragraphs pass points for length and commas to their ancestors,
-discounted by link density, and the best container and its like siblings stay.
+left exactly as it was. Every HTML text becomes a tree, whose container is chosen
+by scoring: paragraphs pass points for length and commas to their ancestors,
+discounted by link density, and the best container and its like siblings stay;
+of a fragment without link lists that is all of it. Trees are walked in one pass
+over their events, so neither depth nor size of a page is a bar.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -154,144 +157,190 @@ DROPPED = {"script", "style", "head", "nav", "iframe", "svg", "button", "select"
 
 
 class _Node:
-    __slots__ = ("tag", "kids", "up", "score")
+    __slots__ = ("tag", "up", "start", "end", "head", "signs", "linked", "own", "commas", "score", "plain")
 
-    def __init__(self, tag: str, up: _Node | None) -> None:
-        self.tag, self.up, self.kids, self.score = tag, up, [], 0.0
-
-    def text(self) -> str:
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
-
-    def linked(self) -> int:
-        return sum(len(k.text()) if k.tag == "a" else k.linked() for k in self.kids if not isinstance(k, str))
+    def __init__(self, tag: str, up: _Node | None, start: int, head: bool) -> None:
+        self.tag, self.up, self.start, self.end = tag, up, start, start
+        self.head = head  # the first element of its parent
+        self.signs = self.linked = self.own = self.commas = 0
+        self.score = 0.0
+        self.plain = ""  # its text up to what the rules for siblings look at
 
+    @property
     def density(self) -> float:
-        return self.linked() / max(1, len(self.text()))
-
-    def walk(self) -> Iterator[_Node]:
-        yield self
-        for k in self.kids:
-            if not isinstance(k, str):
-                yield from k.walk()
+        return self.linked / max(1, self.signs)
 
 
 class _Tree(HTMLParser):
+    """A page as a list of events (text, or a node at its start and end) in order, and its nodes, parents first."""
+
+    #: an element that starts ends an open one of these kinds
+    ENDS = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("root", None)
+        self.root = self.at = _Node("root", None, 0, True)
+        self.events: list[str | _Node] = [self.root]
+        self.nodes = [self.root]
+        self.opened: Counter[str] = Counter()
+        self.with_kids: set[int] = set()
+
+    def _close(self) -> None:
+        self.at.end = len(self.events)
+        self.events.append(self.at)
+        self.opened[self.at.tag] -= 1
+        if self.at.up is not None:
+            self.at = self.at.up
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("p", "li", "tr", "td", "th", "dd", "dt"):  # these end an open one of their kind
-            ends = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}[tag]
-            if self.at.tag in ends:
-                self.handle_endtag(self.at.tag)
-        node = _Node(tag, self.at)
-        self.at.kids.append(node)
-        if tag not in VOID:
-            self.at = node
+        if self.at.tag in self.ENDS.get(tag, ()):
+            self._close()
+        node = _Node(tag, self.at, len(self.events), id(self.at) not in self.with_kids)
+        self.with_kids.add(id(self.at))
+        self.nodes.append(node)
+        self.events.append(node)
+        self.opened[tag] += 1
+        self.at = node
+        if tag in VOID:
+            self._close()
 
     def handle_endtag(self, tag: str) -> None:
-        n: _Node | None = self.at
-        while n is not None and n.tag != tag:
-            n = n.up
-        if n is not None and n.up is not None:
-            self.at = n.up
+        if self.opened[tag] > 0:
+            while self.at.tag != tag:
+                self._close()
+            self._close()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.at.kids.append(_Node(tag, self.at))
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self._close()
 
     def handle_data(self, data: str) -> None:
-        self.at.kids.append(data)
-
-
-def _main_parts(root: _Node) -> set[int] | None:
-    """Ids of the nodes of the best container and its like siblings, with all ancestors; None: keep all.
-
-    Only a page with a block that is mostly links has anything to leave out.
+        self.events.append(data)
+        n = self.at
+        n.signs += len(data)
+        n.own += len(data.strip())
+        n.commas += data.count(",") + data.count("，")
+        if len(n.plain) <= 400:
+            n.plain += data[:400]
+
+    def finish(self) -> None:
+        self.close()
+        while self.at is not self.root:
+            self._close()
+        self.root.end = len(self.events)
+        self.events.append(self.root)
+        for n in reversed(self.nodes):  # children before parents, so one pass adds all up
+            if n.tag == "a":
+                n.linked = n.signs
+            up = n.up
+            if up is not None:
+                up.signs += n.signs
+                up.linked += n.linked
+                if len(up.plain) <= 400:
+                    up.plain += n.plain
+                if n.tag not in BLOCKS:
+                    up.own += n.own
+                    up.commas += n.commas
+
+
+def _left_out(tree: _Tree) -> set[int]:
+    """Numbers of the events at which parts start that do not belong to the main text.
+
+    Paragraphs pass points for their length and commas to their parent, and half
+    of them to its parent; the container with most points, less its share of
+    text in links, is kept, and with it such siblings of it and of the nodes
+    above it as have points of their own, say something outside links, or hold
+    no links.
     """
-    paragraphs = [n for n in root.walk() if n.tag in ("p", "td", "pre", "li", "blockquote", "div", "section") and n.up is not None]
-    if not any(n.linked() for n in paragraphs):
-        return None
-    for n in paragraphs:
-        own = "".join(k if isinstance(k, str) else (k.text() if k.tag not in BLOCKS else "") for k in n.kids)
-        if len(own.strip()) < 25:
-            continue
-        points = 1 + own.count(",") + own.count("，") + min(len(own) // 100, 3)
-        if n.up is not None:
+    for n in tree.nodes:
+        if n.tag in PARAGRAPHS and n.up is not None and n.own >= 25:
+            points = 1 + n.commas + min(n.own // 100, 3)
             n.up.score += points
             if n.up.up is not None:
                 n.up.up.score += points / 2
-    best = max(root.walk(), key=lambda n: n.score * (1 - n.density()))
-    if best.score <= 0:
-        return None
-    keep: set[int] = set()
-    top = best.score * (1 - best.density())
-    at: _Node | None = best
-    keep.update(id(n) for n in best.walk())
-    while at is not None and at.up is not None:
-        for k in at.up.kids:
-            if isinstance(k, str) or k is at:
-                continue
-            own = k.text().strip()
-            dense = k.density()
-            like = k.score * (1 - dense) >= max(10.0, 0.2 * top) or (dense < 0.25 and (len(own) > 80 or bool(re.search(r"[.!?。]|\x03", own)))) or (not dense and k.tag not in DROPPED)
-            if like:
-                keep.update(id(n) for n in k.walk())
-        keep.add(id(at.up))
+    best = max(tree.nodes, key=lambda n: n.score * (1 - n.density))
+    top = best.score * (1 - best.density)
+    if top <= 0:
+        return set()
+    above = {id(best)}
+    at = best
+    while at.up is not None:
         at = at.up
-    return keep
-
-
-def _render(n: _Node, keep: set[int] | None, out: list[str], lists: list[int | None]) -> None:
-    if n.tag in DROPPED or keep is not None and id(n) not in keep:
-        return
-    if n.tag == "br":
-        out.append("\n")
-        return
-    if n.tag == "hr":
-        out.append("\n\n")
-        return
-    if n.tag == "img":
-        return
-    if n.tag == "pre":
-        code = n.text().strip("\n")
-        out.append("\n\n" + "\n".join("\x04" + x for x in code.split("\n")) + "\n\n")
-        return
-    if n.tag in ("ol", "ul"):
-        lists.append(0 if n.tag == "ol" else None)
-    head = n.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    if head or n.tag in ("p", "div", "table", "ol", "ul", "blockquote", "section", "article"):
-        out.append("\n\n")
-    elif n.tag == "tr":
-        out.append("\n")
-    elif n.tag == "li":
-        if lists and lists[-1] is not None:
-            lists[-1] += 1
-            out.append(f"\n{lists[-1]}. ")
-        else:
-            out.append("\n- ")
-    elif n.tag in ("td", "th") and n.up is not None and next((k for k in n.up.kids if not isinstance(k, str)), None) is not n:
-        out.append("\t")
-    for k in n.kids:
-        if isinstance(k, str):
-            out.append(k)
+        above.add(id(at))
+    out: set[int] = set()
+    for k in tree.nodes:
+        if k.up is None or id(k) in above or id(k.up) not in above or k.up is best:
+            continue
+        own, dense = k.plain.strip(), k.density
+        like = k.score * (1 - dense) >= max(10.0, 0.2 * top) or dense < 0.25 and (len(own) > 80 or bool(SAYS.search(own))) or not dense and k.tag not in DROPPED
+        if not like:
+            out.add(k.start)
+    return out
+
+
+PARAGRAPHS = {"p", "td", "pre", "li", "blockquote", "div", "section"}
+SAYS = re.compile(r"[.!?。]|\x03")
+HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+APART = HEADS | {"p", "div", "table", "ol", "ul", "blockquote", "section", "article"}
+
+
+def _render(tree: _Tree) -> str:
+    """The text of the main parts; lists, tables, headings and code keep their form."""
+    left_out = _left_out(tree)
+    out: list[str] = []
+    lists: list[int | None] = []
+    i = 0
+    while i < len(tree.events):
+        n = tree.events[i]
+        if isinstance(n, str):
+            out.append(n)
+        elif i == n.end:  # after its kids
+            if n.tag in ("ol", "ul"):
+                lists.pop()
+            if n.tag in APART:
+                out.append("\n\n")
+        elif n.tag in DROPPED or i in left_out:
+            i = n.end
+        elif n.tag == "pre":
+            code = "".join(x for x in tree.events[i : n.end] if isinstance(x, str)).strip("\n")
+            out.append("\n\n" + "\n".join("\x04" + x for x in code.split("\n")) + "\n\n")
+            i = n.end
+        elif n.tag in VOID:
+            out.append({"br": "\n", "hr": "\n\n"}.get(n.tag, ""))
+            i = n.end
         else:
-            _render(k, keep, out, lists)
-    if n.tag in ("ol", "ul"):
-        lists.pop()
-    if head or n.tag in ("p", "div", "table", "ol", "ul", "blockquote", "section", "article"):
-        out.append("\n\n")
+            if n.tag in ("ol", "ul"):
+                lists.append(0 if n.tag == "ol" else None)
+            if n.tag in APART:
+                out.append("\n\n")
+            elif n.tag == "tr":
+                out.append("\n")
+            elif n.tag == "li":
+                if lists and lists[-1] is not None:
+                    lists[-1] += 1
+                    out.append(f"\n{lists[-1]}. ")
+                else:
+                    out.append("\n- ")
+            elif n.tag in ("td", "th") and not n.head:
+                out.append("\t")
+        i += 1
+    return "".join(out)
+
+
+def _page(s: str) -> _Tree:
+    """The tree of ``s``, in which a sign that opens no known tag is text."""
+    t = _Tree()
+    t.feed(COMMENT.sub("", NO_TAG.sub("&lt;", s) if "<" in s else s))
+    t.finish()
+    return t
 
 
 def _from_html(s: str) -> str:
-    # a sign that opens no known tag is text
-    s = re.sub(r"<(?!/?(?:" + "|".join(TAGS.split()) + r")\b[^<>]*>|!--)", "&lt;", s, flags=re.I) if "<" in s else s
-    t = _Tree()
-    t.feed(COMMENT.sub("", s))
-    t.close()
-    out: list[str] = []
-    _render(t.root, _main_parts(t.root), out, [])
-    return html.unescape("".join(out)).replace("\xa0", " ")
+    return html.unescape(_render(_page(s))).replace("\xa0", " ")
+
+
+NO_TAG = re.compile(r"<(?!/?(?:" + "|".join(TAGS.split()) + r")\b[^<>]*>|!--)", re.I)
 
 
 # ------------------------------------------------------- line based formats
@@ -299,6 +348,63 @@ def _code_line(x: str) -> str:
     return "\x04" + x
 
 
+WRAP = re.compile(
+    r"(\\(?:textbf|textit|texttt|textsc|textsf|textsl|textrm|textup|textmd|textnormal|emph|underline|uline|url|verb|caption|title|author|date|text)\{"
+    r"|\{\\(?:it|bf|em|tt|sc|sl|rm|sf|small|large|itshape|bfseries)\b\s*)|([{}])"
+)
+
+
+def _unwrap(s: str) -> str:
+    """``s`` without commands and groups that only dress their text, however deep they nest; what is never closed stays."""
+    out: list[str] = []
+    opened: list[tuple[int, bool]] = []
+    at = 0
+    for m in WRAP.finditer(s):
+        out.append(s[at : m.start()])
+        at = m.end()
+        if m[1] or m[2] == "{":
+            opened.append((len(out), bool(m[1])))
+            out.append(m[0])
+        elif opened:
+            place, dress = opened.pop()
+            if dress:
+                out[place] = ""
+            else:
+                out.append("}")
+        else:
+            out.append("}")
+    return "".join(out) + s[at:]
+
+
+NAMED, BRACE, TRAIL = re.compile(r"[A-Za-z!#:]"), re.compile(r"[{}]"), re.compile(r"[ \t]*\n?")
+
+
+def _without_templates(s: str) -> str:
+    """``s`` without ``{{..}}`` that start with a name, whatever stands in them."""
+    opened: list[int] = []
+    gone: list[tuple[int, int]] = []
+    for m in re.finditer(r"\{\{|\}\}", s):
+        if m[0] == "{{":
+            opened.append(m.start())
+        elif opened:
+            a = at = opened.pop()
+            at += 2
+            bare = bool(NAMED.match(s, at))
+            first = len(gone)
+            while first and gone[first - 1][0] > a:
+                first -= 1
+            for x, y in gone[first:]:
+                bare = bare and not BRACE.search(s, at, x)
+                at = y
+            if bare and not BRACE.search(s, at, m.start()):
+                gone[first:] = [(a, TRAIL.match(s, m.end()).end())]
+    out, at = [], 0
+    for a, b in gone:
+        out.append(s[at:a])
+        at = b
+    return "".join(out) + s[at:]
+
+
 def _from_latex(s: str) -> str:
     def verbatim(m: re.Match[str]) -> str:
         return "\n\n" + "\n".join(_code_line(x) for x in m[2].strip("\n").split("\n")) + "\n\n"
@@ -330,9 +436,7 @@ def _from_latex(s: str) -> str:
             out.append("\n- ")
     out.append(s[at:])
     s = "".join(out)
-    for _ in range(3):  # nested groups
-        s = re.sub(r"\\(?:textbf|textit|texttt|textsc|textsf|textsl|textrm|textup|textmd|textnormal|emph|underline|uline|url|verb|caption|title|author|date|text)\{([^{}]*)\}", r"\1", s)
-        s = re.sub(r"\{\\(?:it|bf|em|tt|sc|sl|rm|sf|small|large|itshape|bfseries)\b\s*([^{}]*)\}", r"\1", s)
+    s = _unwrap(s)
     s = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", s)
     s = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", s)
     s = re.sub(r"[ ~]*\\(?:label|cite|citep|citet|bibliography|includegraphics|vspace|hspace|usepackage|documentclass|input|include)\*?(?:\[[^\]]*\])?\{[^{}]*\}?", "", s)
@@ -346,8 +450,7 @@ def _from_latex(s: str) -> str:
 def _from_wiki(s: str) -> str:
     s = re.sub(r"<nowiki>(.*?)</nowiki>", r"\1", s, flags=re.S | re.I)
     s = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>(.*?)</ref>", lambda m: f" ({m[1].strip()})" if m[1] else "", s, flags=re.S | re.I)
-    for _ in range(3):
-        s = re.sub(r"\{\{[A-Za-z!#:][^{}]*\}\}[ \t]*\n?", "", s)
+    s = _without_templates(s)
     s = re.sub(r"\[\[(?:File|Image|Category|Datei|Bild|Fichier|Archivo)\s*:[^\[\]]*\]\][ \t]*\n?", "", s, flags=re.I)
     s = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*[^\W\d_][^\[\]|\n]*)\]\]", r"\1", s)
     s = re.sub(r"\[https?://[^\]\s]+\s*([^\]\n]*)\]", r"\1", s)
@@ -431,19 +534,22 @@ def _from_markdown(s: str) -> str:
 CONVERT: dict[str, Callable[[str], str]] = {"html": _from_html, "latex": _from_latex, "wiki": _from_wiki, "markdown": _from_markdown}
 
 
+#: Signs that mark formulas and code lines while a text is converted; a text's own are dropped then.
+_OWN_SIGNS = {2: None, 3: None, 4: None}
+
+
 def clean_text(text: str | None) -> tuple[str | None, list[str]]:
     """The clean text and the kinds of markup found; null stays null, unmarked text stays as it is."""
     if not text:
         return text, []
-    s, formulas = _mask(text)
+    s, formulas = _mask(text.translate(_OWN_SIGNS))
     kinds = _kinds(s)
     if not kinds:
         return text, []
     found: set[str] = set(kinds)
-    for _ in range(4):  # one kind may wrap another
-        now = _kinds(s)
-        if not now:
-            break
+    seen: set[int] = set()
+    while (now := _kinds(s)) and hash(s) not in seen:  # one kind may wrap another
+        seen.add(hash(s))
         found.update(now)
         for k in ("latex", "html", "wiki", "markdown"):
             if k in now:
@@ -453,10 +559,10 @@ def clean_text(text: str | None) -> tuple[str | None, list[str]]:
         s = re.sub(r"[ \t]+\n", "\n", s)
     s = re.sub(r"\n{3,}", "\n\n", s)
     s = "\n".join(("    " + x[1:]) if x.startswith("\x04") else re.sub(r" {2,}", " ", x).rstrip() for x in s.split("\n")).strip("\n").rstrip()
-    for _ in range(3):
-        if "\x02" not in s:
+    while "\x02" in s:  # a formula may hold earlier ones
+        before, s = s, re.sub(r"\x02(\d+)\x03", lambda m: formulas[int(m[1])] if int(m[1]) < len(formulas) else "", s)
+        if s == before:
             break
-        s = re.sub(r"\x02(\d+)\x03", lambda m: formulas[int(m[1])], s)
     return s, sorted(found)
 
 

@@ -182,6 +182,37 @@ def test_tree_scoring_leaves_out_link_lists():
     assert "Rates" in clean and "gain 3" in clean and "link number" not in clean
 
 
+def test_scoring_keeps_containers_like_the_best():
+    say = "<p>The channel, which is flat, has gain {}, and so the rate, as shown above, stays bounded by it.</p>"
+    nav = '<div><a href="x">home</a> <a href="y">all papers of this group</a> <a href="z">contact, terms</a></div>'
+    page = f"<body>{nav}<div>{say.format(1) * 3}</div><div>{say.format(2) * 2}</div><div>Short note.</div>{nav}</body>"
+    clean, kinds = markup.clean_text(page)
+    assert kinds == ["html"] and "gain 1" in clean and "gain 2" in clean and "Short note." in clean and "home" not in clean
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("<div>" * 100_000 + "x" + "</div>" * 100_000, "x"), ("<b><i>" * 50_000 + "x", "x"), ("<div>" * 50_000 + "x" + "</p>" * 50_000, "x"), ("\\textbf{" * 20_000 + "x" + "}" * 20_000, "x"), ("a {{b|" + "{{c|" * 20_000 + "}}" * 20_000 + "}} d", "a d"),
+        ("{\\it a \\textbf{b} {c} $d$}", "a b {c} $d$"),
+    ],
+)
+def test_depth_is_no_bar(text, want):
+    assert markup.clean_text(text)[0] == want
+
+
+def test_large_page():
+    page = "<html><body>" + "<p>Some words, and a <a href=x>link</a> too.</p>" * 220_000 + "</body></html>"
+    assert len(page) > 10_000_000
+    clean, kinds = markup.clean_text(page)
+    assert kinds == ["html"] and clean.count("Some words, and a link too.") == 220_000
+
+
+def test_signs_used_for_marking_do_no_harm():
+    assert markup.clean_text("<b>a</b> \x020\x03 $x$")[0] == "a 0 $x$"
+    assert markup.clean_text("a \x020\x03") == ("a \x020\x03", [])
+
+
 def test_operator(spark):
     rows = [(1, None), (2, ""), (3, "<b>x</b>"), (3, "<b>x</b>"), (4, "plain " * 40_000)]
     df = spark.createDataFrame(rows, "k bigint, v string").withColumn("kinds", F.lit(0)).withColumn("clean_text", F.lit("clash"))
