@@ -14,7 +14,7 @@ class Crf:
         self.first = np.zeros(n_labels)
 
     def fit(self, seqs: list[np.ndarray], tags: list[np.ndarray], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Crf:
-        """Adam on the conditional log likelihood with an L2 penalty; all sequences at once, padded."""
+        """Adam on the conditional log likelihood, with an L2 penalty on leaving the weights it starts from; all sequences at once, padded."""
         n, t = len(seqs), max(len(s) for s in seqs)
         f, k = self.emit.shape
         x = np.zeros((n, t, f))
@@ -26,6 +26,7 @@ class Crf:
         pairs = on[:, 1:]
         gold_move = np.einsum("nti,ntj,nt->ij", gold[:, :-1], gold[:, 1:], pairs)
         theta = [self.emit, self.move, self.first]
+        start = [p.copy() for p in theta]
         mean = [np.zeros_like(p) for p in theta]
         var = [np.zeros_like(p) for p in theta]
         for step in range(1, rounds + 1):
@@ -42,10 +43,10 @@ class Crf:
                 b[:, j] = np.where(on[:, j + 1][:, None], new, b[:, j + 1] * 0)
             z = _lse(a[:, -1], 1)
             p = np.exp(a + b - z[:, None, None]) * on[..., None]
-            g_emit = np.einsum("ntf,ntk->fk", x, p - gold) / n + decay * self.emit
+            g_emit = np.einsum("ntf,ntk->fk", x, p - gold) / n + decay * (self.emit - start[0])
             q = np.exp(a[:, :-1, :, None] + self.move + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])
-            g_move = ((q * pairs[..., None, None]).sum((0, 1)) - gold_move) / n + decay * self.move
-            g_first = (p[:, 0] - gold[:, 0]).sum(0) / n + decay * self.first
+            g_move = ((q * pairs[..., None, None]).sum((0, 1)) - gold_move) / n + decay * (self.move - start[1])
+            g_first = (p[:, 0] - gold[:, 0]).sum(0) / n + decay * (self.first - start[2])
             for i, g in enumerate((g_emit, g_move, g_first)):
                 mean[i] = 0.9 * mean[i] + 0.1 * g
                 var[i] = 0.99 * var[i] + 0.01 * g * g
@@ -54,22 +55,39 @@ class Crf:
 
     def tag(self, s: np.ndarray) -> list[int]:
         """The best label sequence (Viterbi)."""
-        e = s @ self.emit
-        move = self.move.T.copy()
-        best = e[0] + self.first
-        back = []
-        for row in e[1:]:
-            c = move + best
-            p = c.argmax(1)
-            back.append(p)
-            best = c[_ROWS[: len(p)], p] + row
-        out = [int(best.argmax())]
-        for p in reversed(back):
-            out.append(int(p[out[-1]]))
-        return out[::-1]
+        return self.tag_all(s, [len(s)])[0]
 
+    def tag_all(self, rows: np.ndarray, lengths: list[int]) -> list[list[int]]:
+        """The best label sequences of many texts, whose rows stand one after the other; an empty text has no labels.
 
-_ROWS = np.arange(64)
+        Few labels and short texts: plain lists beat arrays here.
+        """
+        emitted = (rows @ self.emit).tolist()
+        move, first = self.move.T.tolist(), self.first.tolist()
+        labels = range(len(first))
+        out: list[list[int]] = []
+        at = 0
+        for n in lengths:
+            if not n:
+                out.append([])
+                continue
+            best = [a + b for a, b in zip(emitted[at], first)]
+            back: list[list[int]] = []
+            for row in emitted[at + 1 : at + n]:
+                came, new = [], []
+                for k in labels:
+                    c = [a + b for a, b in zip(best, move[k])]
+                    top = max(c)
+                    came.append(c.index(top))
+                    new.append(top + row[k])
+                back.append(came)
+                best = new
+            at += n
+            tags = [best.index(max(best))]
+            for came in reversed(back):
+                tags.append(came[tags[-1]])
+            out.append(tags[::-1])
+        return out
 
 
 def _lse(v: np.ndarray, axis: int) -> np.ndarray:

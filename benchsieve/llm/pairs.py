@@ -2,19 +2,23 @@
 
 A response is cut into clauses; a conditional random field tags each as answer,
 refusal, echo, foreign or unfinished; the share of the response that each tag
-covers gives the defect of the pair.
-
-The field is fitted once per run on a bounded sample (``TRAIN_PAIRS`` pairs):
-clauses of responses and questions arranged into whole, echoing, foreign, cut
-and refusing responses, where the arrangement gives the labels. Nothing is
-fitted on verdicts.
+covers gives the defect of the pair: no clause that says anything is ``empty``,
+clauses of refusal without an answer are ``refusal``, nearly nothing but echo is
+``copied``, mostly foreign clauses are ``language``, and an unfinished last
+clause is ``truncated`` if the ending test of problem 1 agrees.
+
+The field is fitted once per run on a bounded sample (``TRAIN_PAIRS`` pairs, of
+each ``TRAIN_CLAUSES`` clauses at most): clauses of responses and questions
+arranged into whole, echoing, foreign, cut and refusing responses, where the
+arrangement gives the labels. Nothing is fitted on verdicts.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,6 +30,8 @@ from benchsieve.llm.truncation import FORMULA, cut_reason
 
 #: Most pairs that the field is fitted on.
 TRAIN_PAIRS = 400
+#: Most clauses of a response or question that take part in fitting.
+TRAIN_CLAUSES = 12
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 
@@ -35,7 +41,8 @@ PLACEHOLDER = re.compile(
     re.I,
 )
 EMPTY_BOX = re.compile(r"\\boxed\s*\{\s*\}|\$\s*\$|<[^<>]*>|\\[a-z]+\{\s*\}")
-CLAUSE = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])|\n+|(?<=>)(?=<)")
+#: A single line break after a long line which ends no sentence, or before a small letter or a formula, is one of a wrapped text.
+CLAUSE = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])|\n[ \t]*\n\s*|(?<=:)\n|(?<![^\n]{28})\n(?![ \t]*[a-z\x02])|\n(?=[ \t]*(?:[-*#>|]|\d+[.)]\s))|(?<=>)(?=<)")
 TEX_BITS = re.compile(r"\\[A-Za-z]+(?:_\w+)?|<[^<>]*>|&[a-z#0-9]+;")
 WORD = re.compile(r"[^\W\d_]{2,}")
 CJK = re.compile(r"[㐀-鿿]")
@@ -74,6 +81,7 @@ CUES = {
     "regret": "sorry apologies apologize apologise apologizes apology unfortunately regret forgive thank appreciate assistant model ai leider désolé malheureusement siento lamentablemente",
     "courtesy": "else hope care please consult textbook check look ask guidelines luck wishes feel know nice good",
     "hedge": "but so draft here instead certain hand nevertheless will let we won misread",
+    "label": "restate restated restates restating restatement problem question ask asked following background prompt task aufgabe frage problème problema pregunta",
     "conclude": "answer result option therefore hence thus obtain completes claimed qed ergebnis résultat resultado",
 }
 _CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
@@ -122,23 +130,47 @@ def is_empty(text: str | None) -> bool:
     """Null, blank or a placeholder, nothing said."""
     if text is None:
         return True
-    s = EMPTY_BOX.sub(" ", text)
+    s = EMPTY_BOX.sub(" ", text) if "\\" in text or "$" in text or "<" in text else text
     return len(s) < 200 and bool(PLACEHOLDER.fullmatch(s))
 
 
-def clauses(text: str) -> list[str]:
+#: Stands for a formula in a clause.
+MARK = "\x02"
+
+
+class Clause(NamedTuple):
+    """A clause whose formulas are replaced by marks, and these formulas."""
+
+    text: str
+    formulas: list[str]
+
+    def whole(self) -> str:
+        parts = self.text.split(MARK)
+        return parts[0] + "".join(f + p for f, p in zip(self.formulas, parts[1:]))
+
+    def size(self) -> int:
+        return len(self.text) + sum(map(len, self.formulas)) - len(self.formulas)
+
+
+def clauses(text: str) -> list[Clause]:
     """Sentences and lines with formulas whole, in order; none is blank."""
-    kept: list[str] = []
+    text = text.replace(MARK, " ")
+    kept = FORMULA.findall(text) if "$" in text or "\\" in text else []
+    out: list[Clause] = []
+    at = 0
+    for p in CLAUSE.split(FORMULA.sub(MARK, text) if kept else text):
+        n = p.count(MARK) if kept else 0
+        p = p.strip()
+        if p:
+            out.append(Clause(p, kept[at : at + n]))
+        at += n
+    return out
 
-    def take(m: re.Match[str]) -> str:
-        kept.append(m[0])
-        return f"\x02{len(kept) - 1}\x03"
 
-    parts = CLAUSE.split(FORMULA.sub(take, text))
-    return [re.sub(r"\x02(\d+)\x03", lambda m: kept[int(m[1])], p).strip() for p in parts if p and p.strip()]
+N_FEATURES = 18
 
 
-N_FEATURES = 17
+_SIGNS = str.maketrans("", "", " \t\n\r$\\{}(),.")
 
 
 class Question:
@@ -150,7 +182,7 @@ class Question:
         whole = f"{background or ''}\n{question or ''}"
         self.bits = _bits(_units(_plain(whole)))
         self.asked = set(_units(_plain(question or "")))
-        self.math = {re.sub(r"[\s$\\{}(),.]", "", m) for m in FORMULA.findall(whole)}
+        self.math = {m.translate(_SIGNS) for m in FORMULA.findall(whole)}
         self.lang = language(_plain(question or whole))
 
 
@@ -167,42 +199,50 @@ def echo_share(units: list[str], q: Question) -> float:
 QUOTED = re.compile(r"[\"“„«][^\"”“»]*[\"”“»]")
 
 
-def features(parts: list[str], q: Question, cut: bool) -> np.ndarray:
-    rows = []
-    n = len(parts)
-    for i, p in enumerate(parts):
-        has_math = "$" in p or "\\" in p
-        plain = _plain(p) if has_math or "<" in p or "&" in p else p
+UNABLE, REGRETS, POLITE, ECHOES, OWN, LABELS_IT, OTHER_LANG, SAME_LANG, CONCLUDES, NEW_MATH, HAS_MATH = range(1, 12)
+
+
+def features(parts: list[Clause], q: Question, cut: bool) -> tuple[list[tuple], list[str]]:
+    """A row of zeros and ones for each clause, and all units of the text. A clause that is cut concludes nothing."""
+    rows: list[tuple] = []
+    said: list[str] = []
+    last = len(parts) - 1
+    for i, (p, formulas) in enumerate(parts):
+        tex = "\\" in p
+        has_math = bool(formulas) or tex or "$" in p
+        plain = TEX_BITS.sub(" ", p) if tex or "<" in p or "&" in p else p
         words = ALL_WORDS.findall(plain.lower())
         have = set(words)
         han = any("㐀" <= w <= "鿿" for w in have)
         units = _units_of(words)
+        said += units
         echo = echo_share(units, q)
         lang = _language(ALL_WORDS.findall(QUOTED.sub(" ", plain).lower()) if '"' in plain or "“" in plain or "«" in plain else words)
-        new_math = has_math and echo < 0.85 and any(re.sub(r"[\s$\\{}(),.]", "", m) not in q.math for m in FORMULA.findall(p))
+        new = [m for m in formulas if m.translate(_SIGNS) not in q.math]
         cue = lambda k: han or not have.isdisjoint(_CUES[k])  # noqa: B023, E731
+        broken = cut and i == last
         hedge = cue("hedge") and bool(HEDGE.search(plain))
-        unable = not has_math and not hedge and cue("unable") and bool(INABILITY.search(plain) and SELF.search(plain) and TASK.search(plain))
         rows.append((
             1,
-            unable,
+            not has_math and not hedge and cue("unable") and bool(INABILITY.search(plain) and SELF.search(plain) and TASK.search(plain)),
             not has_math and cue("regret") and bool(REGRET.search(plain)),
             cue("courtesy") and bool(COURTESY.search(plain)),
             len(units) >= 4 and echo >= 0.85,
             len(units) >= 4 and echo < 0.6,
-            len(plain) < 90 and bool(LABEL.search(plain)),
+            len(plain) < 90 and cue("label") and bool(LABEL.search(plain)),
             lang is not None and q.lang is not None and lang != q.lang,
             lang is not None and lang == q.lang,
-            "\\boxed" in p or cue("conclude") and bool(CONCLUDE.search(p)),
-            new_math,
+            not broken and ("\\boxed" in p or any("\\boxed" in m for m in formulas) or cue("conclude") and bool(CONCLUDE.search(p))),
+            not broken and bool(new) and echo < 0.85,
             has_math,
             hedge,
-            i == n - 1,
-            i == n - 1 and cut,
+            i == last,
+            broken,
             len(units) < 3,
             i == 0,
+            len(units) < 4 and echo >= (0.85 if units else 0) and not new and (bool(units) or has_math),
         ))
-    return np.array(rows, dtype=float).reshape(n, N_FEATURES)
+    return rows, said
 
 
 def _training(pairs: list[tuple[str, str | None, str]], seed: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -218,88 +258,122 @@ def _training(pairs: list[tuple[str, str | None, str]], seed: int = 0) -> tuple[
     seqs: list[np.ndarray] = []
     tags: list[np.ndarray] = []
 
-    def add(parts: list[str], labels: list[int], q: Question, cut: bool = False) -> None:
+    def add(parts: list[Clause], labels: list[int], q: Question, cut: bool = False) -> None:
         if parts:
-            seqs.append(features(parts, q, cut))
+            seqs.append(np.array(features(parts, q, cut)[0], dtype=float))
             tags.append(np.array(labels))
 
+    def broken(parts: list[Clause], label: int, q: Question) -> None:
+        """``parts`` of which the last breaks off somewhere."""
+        last = parts[-1].whole()
+        if len(last) > 12:
+            text = "\n".join([*(p.whole() for p in parts[:-1]), last[: rng.randrange(6, len(last) - 3)]])
+            got = clauses(text)
+            if cut_reason(text) and len(got) == len(parts):
+                add(got, [label] * (len(got) - 1) + [UNFINISHED], q, True)
+
     for question, background, response in pairs:
         q = Question(question, background)
-        own = clauses(response)[:12]
-        asked = clauses(question)[:8]
+        own = clauses(response)[:TRAIN_CLAUSES]
+        asked = clauses(question)[:TRAIN_CLAUSES]
         if not own or not asked:
             continue
         same = language(_plain(response)) in (None, q.lang)
-        good = same and bool(CONCLUDE.search(response)) and cut_reason(response) is None and not any(INABILITY.search(_plain(c)) and not HEDGE.search(c) and SELF.search(_plain(c)) for c in own)
-        what = rng.randrange(6)
+        rows = features(own, q, False)[0]
+        good = same and bool(CONCLUDE.search(response)) and cut_reason(response) is None and not any(r[UNABLE] for r in rows)
+        what = rng.randrange(7)
         if good and what in (0, 1):
             lead = asked if what == 1 else []
-            labels = [ECHO if features([c], q, False)[0, 4] else ANSWER for c in own]
-            add(lead + own, [ECHO] * len(lead) + labels, q)
+            add(lead + own, [ECHO] * len(lead) + [ECHO if r[ECHOES] else ANSWER for r in rows], q)
         elif what == 2:
             t = " ".join(_units(_plain(question))[3:5])
-            parts = [rng.choice(refusals).format(t=t)] + [x.format(t=t) for x in rng.sample(polite, rng.randrange(3))]
+            parts = [c for x in [rng.choice(refusals), *rng.sample(polite, rng.randrange(3))] for c in clauses(x.format(t=t))]
             lead = asked if rng.random() < 0.3 else []
-            add(lead + parts, [ECHO] * len(lead) + [REFUSAL] * len(parts), q)
+            talk = [c for c, r in zip(own, rows) if not (r[CONCLUDES] or r[UNABLE] or r[ECHOES])][:3] if rng.random() < 0.4 else []
+            first = talk if rng.random() < 0.4 else []  # talk that answers nothing stands before or after
+            after = [] if first else talk
+            add(lead + first + parts + after, [ECHO] * len(lead) + [ANSWER] * len(first) + [REFUSAL] * len(parts) + [ANSWER] * len(after), q)
         elif what == 3:
             add(asked, [ECHO] * len(asked), q)
         elif what == 4 and foreign and q.lang == "en":
             parts = rng.sample(foreign, min(len(foreign), rng.randrange(2, 6)))
             add(parts, [FOREIGN] * len(parts), q)
-        elif good and len(own[-1]) > 12:
-            last = own[-1][: rng.randrange(6, len(own[-1]) - 3)]
-            if cut_reason("\n".join([*own[:-1], last])):
-                add([*own[:-1], last], [ANSWER] * (len(own) - 1) + [UNFINISHED], q, True)
+        elif what == 5:
+            broken(asked, ECHO, q)
+        elif good:
+            broken(own, ANSWER, q)
     return seqs, tags
 
 
+def hand_set() -> Crf:
+    """A starting point which states what each tag means, so that scarce samples do no harm."""
+    crf = Crf(N_FEATURES, len(LABELS))
+    crf.emit[UNABLE, REFUSAL] = crf.emit[REGRETS, REFUSAL] = 2
+    crf.emit[POLITE, REFUSAL] = crf.emit[ECHOES, ECHO] = crf.emit[OTHER_LANG, FOREIGN] = crf.emit[14, UNFINISHED] = 3
+    crf.emit[CONCLUDES, ANSWER] = crf.emit[NEW_MATH, ANSWER] = 2
+    crf.emit[LABELS_IT, ECHO] = crf.emit[17, ECHO] = crf.emit[0, ANSWER] = 1
+    return crf
+
+
 def fit_tagger(pairs: list[tuple[str, str | None, str]]) -> Crf:
     seqs, tags = _training(pairs)
-    crf = Crf(N_FEATURES, len(LABELS))
-    # a starting point which states what each tag means, so that scarce samples do no harm
-    crf.emit[1, REFUSAL] = crf.emit[2, REFUSAL] = 2
-    crf.emit[3, REFUSAL] = crf.emit[4, ECHO] = crf.emit[7, FOREIGN] = crf.emit[14, UNFINISHED] = 3
-    crf.emit[9, ANSWER] = crf.emit[10, ANSWER] = 2
-    crf.emit[6, ECHO] = crf.emit[0, ANSWER] = 1
+    crf = hand_set()
     return crf.fit(seqs, tags) if len(seqs) >= 20 else crf
 
 
-def defect(text: str | None, q: Question, crf: Crf) -> str | None:
-    """The first defect that fits of empty, refusal, copied, language, truncated; else None."""
+class Tagged(NamedTuple):
+    text: str
+    cut: str | None
+    parts: list[Clause]
+    rows: list[tuple]
+    units: list[str]
+
+
+def prepared(text: str | None, q: Question) -> Tagged | None:
+    """What is tagged and judged of a response; None if none of its clauses says anything."""
     if is_empty(text):
-        return "empty"
-    cut = cut_reason(text)
+        return None
     parts = clauses(text)
-    if not parts:
-        return "empty"
-    x = features(parts, q, cut is not None)
-    tags = crf.tag(x)
-    size = np.array([max(1, len(p)) for p in parts], dtype=float)
-    cover = np.zeros(len(LABELS))
-    for t, s in zip(tags, size):
-        cover[t] += s
-    cover /= size.sum()
-    # labels and single words say nothing by themselves
-    said = any(t == ANSWER and not (x[i, 6] or x[i, 3] or x[i, 2] and not x[i, 11]) for i, t in enumerate(tags))
-    if any(t == REFUSAL and x[i, 1] for i, t in enumerate(tags)) and not any(
-        ANSWERS.search(p) and not x[i, 1] and not x[i, 2] and not x[i, 4] for i, p in enumerate(parts)
-    ):
+    if all(is_empty(p.whole()) for p in parts[:8]) and all(is_empty(p.whole()) for p in parts):
+        return None
+    cut = cut_reason(text)
+    return Tagged(text, cut, parts, *features(parts, q, cut is not None))
+
+
+def by_coverage(got: Tagged, tags: list[int], q: Question) -> str | None:
+    """The first defect that the tags give of refusal, copied, language, truncated; else None."""
+    x = got.rows
+    size = [p.size() for p in got.parts]
+    cover = [0.0] * len(LABELS)
+    for t, n in zip(tags, size):
+        cover[t] += n / sum(size)
+    answers = [i for i, t in enumerate(tags) if t == ANSWER]
+    rest = 1 - cover[ECHO]
+    refused = cover[REFUSAL] and cover[REFUSAL] >= 0.3 * rest or any(t == REFUSAL and x[i][UNABLE] for i, t in enumerate(tags))
+    if refused and not any(ANSWERS.search(got.parts[i].whole()) and not x[i][REGRETS] for i in answers):
         return "refusal"
-    words = ALL_WORDS.findall(_plain(text).lower())
-    units = _units_of(words)
-    if cover[ECHO] >= 0.8 and not said or len(units) >= 8 and echo_share(units, q) >= 0.9 and not any(x[i, 9] and not x[i, 4] for i in range(len(parts))):
-        whole = len(q.asked - set(units)) <= 0.03 * len(q.asked) and echo_share(_units(_plain(parts[-1])), q) >= 0.6
-        if cut is None or whole:
-            return "copied"  # a copy that breaks off within the question or after it is a cut response
-    mine = language(QUOTED.sub(" ", _plain(text))) if cover[FOREIGN] > 0.3 else None
-    other = mine is not None and q.lang is not None and mine != q.lang
-    if other and cover[FOREIGN] > 0.3 or cover[FOREIGN] > 0.5 and mine is None and x[:, 7].any():
+    # a label in front and single words say nothing
+    said = any(x[i][CONCLUDES] or x[i][NEW_MATH] or x[i][OWN] and i for i in answers)
+    if cover[ECHO] + cover[UNFINISHED] * (tags[-1] == UNFINISHED and x[-1][ECHOES]) >= 0.8 and not said:
+        # a copy that breaks off within the question or after it is a cut response
+        whole = len(q.asked - set(got.units)) <= 0.03 * len(q.asked) and echo_share(_units(_plain(got.parts[-1].whole())), q) >= 0.6
+        if got.cut is None or whole:
+            return "copied"
+    if cover[FOREIGN] > 0.5:
         return "language"
-    if cut is not None:
+    if tags[-1] == UNFINISHED and got.cut is not None:
         return "truncated"
     return None
 
 
+def defects(responses: Iterable[tuple[str | None, Question]], crf: Crf) -> list[str | None]:
+    """The first defect that fits of empty, refusal, copied, language, truncated for each response; else None."""
+    got = [(prepared(t, q), q) for t, q in responses]
+    rows = [r for g, _ in got if g for r in g.rows]
+    tagged = iter(crf.tag_all(np.array(rows, dtype=float).reshape(len(rows), N_FEATURES), [len(g.parts) for g, _ in got if g]))
+    return [by_coverage(g, next(tagged), q) if g else "empty" for g, q in got]
+
+
 def questions_of(problems: DataFrame, external: DataFrame) -> DataFrame:
     """``problem_id``, ``question``, ``background``: one row per id of either table."""
     own = problems.select("problem_id", F.col("question_text").alias("question"), "background")
@@ -348,15 +422,14 @@ def mark_pairs(responses: DataFrame, questions: DataFrame, train_pairs: int = TR
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple, Question] = {}
         for b in batches:
-            out = []
-            for text, question, background in zip(b["candidate"], b["question"], b["background"]):
-                key = (question, background)
-                q = known.get(key)
-                if q is None:
+            asked = []
+            for key in zip(b["question"], b["background"]):
+                if key not in known:
                     if len(known) > 2000:
                         known.clear()
-                    q = known[key] = Question(question, background)
-                out.append(defect(text, q, crf))
+                    known[key] = Question(*key)
+                asked.append(known[key])
+            out = defects(zip(b["candidate"], asked), crf)
             yield pd.DataFrame({"response_id": b["response_id"], "defect": out, "is_correct": b["is_correct"], "rationale": b["rationale"]})
 
     return with_questions(rows, questions).mapInPandas(run, "response_id bigint, defect string, is_correct boolean, rationale string")

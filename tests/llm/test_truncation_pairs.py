@@ -123,10 +123,40 @@ def test_viterbi_is_the_best_sequence():
         assert score(crf.tag(x)) == pytest.approx(max(map(score, itertools.product(range(3), repeat=5))))
 
 
-def test_held_out_accuracy_of_the_tagger():
-    base = [(Q.replace("stale", w), BG, f"The {w} gain is constant here. Taking the mean of the {w} channel gives $x$. Therefore the result is $y$.") for w in ("slow", "wide", "idle", "noisy", "long", "dual", "flat", "sparse")] * 20
-    base += [(Q, BG, FOREIGN)] * 20
-    crf = pairs.fit_tagger(base)
-    seqs, tags = pairs._training(base, seed=9)
-    right = sum(int(a == b) for s, t in zip(seqs, tags) for a, b in zip(crf.tag(s), t))
-    assert right >= 0.93 * sum(map(len, tags))
+def test_held_out_accuracy_of_the_tagger(spark, sf):
+    """Fitted on clauses of some questions and tried on those of others, against the weights it starts from."""
+    import numpy as np
+
+    asked = {r["problem_id"]: r for r in pairs.questions_of(spark.read.parquet(f"{sf}/problems_cc_by.parquet"), spark.read.parquet(f"{sf}/external_items.parquet")).collect()}
+    rows = spark.read.parquet(f"{sf}/cleaned_jsonl.parquet").where("candidate is not null").select("problem_id", "candidate").collect()
+    known = sorted((r["problem_id"], r["candidate"]) for r in rows if r["problem_id"] in asked and asked[r["problem_id"]]["question"])
+    ids = sorted({k for k, _ in known})
+    held = set(ids[::2])
+    made = lambda inside: [(asked[k]["question"], asked[k]["background"], c) for k, c in known if (k in held) == inside]
+    fitted, start = pairs.fit_tagger(made(False)), pairs.hand_set()
+    seqs, tags = pairs._training(made(True), seed=9)
+    right = lambda crf: np.mean([a == b for s, t in zip(seqs, tags) for a, b in zip(crf.tag(s), t)])
+    assert sum(map(len, tags)) > 300
+    assert right(fitted) >= 0.95 and right(fitted) > right(start) + 0.02
+
+
+def test_the_field_decides():
+    """Without the field's tags of refusal, echo, foreign and unfinished clauses no such defect is found."""
+    q = pairs.Question(Q, BG)
+    crf = pairs.fit_tagger([(Q.replace("stale", w), BG, f"The {w} gain is constant here. Therefore the result is $y$.") for w in ("slow", "wide", "idle", "noisy", "long")] * 12 + [(Q, BG, FOREIGN)] * 6)
+    for text, want in CASES:
+        got = pairs.prepared(text, q)
+        if got and want:
+            assert pairs.by_coverage(got, [pairs.ANSWER] * len(got.parts), q) is None
+            assert pairs.defects([(text, q)], crf) == [want], text
+
+
+def test_clauses_keep_all_text():
+    rng = random.Random(6)
+    bits = ["The gain", " is $x.y$", ". ", "\n", "so \\(a. b\\) ", "\n\n", "- ", "很大。", "<p>a</p>", "? ", "\x02", " and\nthen "]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        joined = "".join(c.whole() for c in pairs.clauses(text))
+        strip = lambda s: "".join(s.replace("\x02", " ").split())
+        assert strip(joined) == strip(text)
+        assert all(c.size() == len(c.whole()) for c in pairs.clauses(text))
