@@ -22,7 +22,6 @@ from benchsieve.llm.tokens import TOKENIZER, count_tokens
 CAPACITY = 2048
 #: Pieces in a shard, about.
 SHARD_PIECES = 8192
-CLASSES = 32
 
 
 def pieces(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -33,7 +32,7 @@ def pieces(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return some.select("doc_id", "piece_no", start.alias("token_start"), F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - start).alias("n_tokens"))
 
 
-def pack_shard(sizes: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+def pack_shard(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Sequence number and place in it of each of ``sizes``, none of which exceeds ``capacity``."""
     n = len(sizes)
     seq, place = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
@@ -58,17 +57,16 @@ def pack_shard(sizes: np.ndarray, capacity: int = CAPACITY, classes: int = CLASS
         return i
 
     bins = 0
-    for k in range(1, classes + 1):
-        top = capacity // k
-        least = capacity // (k + 1) + 1 if k < classes else 1
+    for k in range(1, capacity + 1):
+        top, least = capacity // k, capacity // (k + 1) + 1
         while True:
             s = fit(top)
-            if s < least or s == 0:
+            if s < least:
                 break
             room, at = capacity, 0
-            for _ in range(k if k < classes else n):  # the fixed count of the class
+            for _ in range(k):  # the fixed count of the class
                 s = fit(min(top, room))
-                if s < least or s == 0:
+                if s < least:
                     break
                 i = take(s)
                 seq[i], place[i] = bins, at

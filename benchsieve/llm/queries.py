@@ -110,17 +110,33 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_pack(spark, d))
 
 
+def _mixture(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, list[dict]]:
+    """The mixture as its shards have it; with ``whole`` of as many tokens as all documents have, however scarce a source is."""
+    counted = mixing.count(_documents(spark, d))
+    total = counted.agg(F.sum("n_tokens")).first()[0] if whole else None
+    used, plan = mixing.mix(counted, read(spark, d, "mix_targets"), total)
+    used = stage_table(used, "uses")
+    return mixing.counted_uses(used, mixing.arrange(used)), plan
+
+
 def p8_uses(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(_documents(spark, d), read(spark, d, "mix_targets"))[0]
+    return _mixture(spark, d)[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    used, plan = mixing.mix(_documents(spark, d), read(spark, d, "mix_targets"))
-    return mixing.share_report(used, plan)
+    return mixing.share_report(*_mixture(spark, d))
+
+
+def p8_large_uses(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d, whole=True)[0]
+
+
+def p8_large_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(*_mixture(spark, d, whole=True))
 
 
 def p8_arranged(spark: SparkSession, d: str) -> DataFrame:
-    used, _ = mixing.mix(_documents(spark, d), read(spark, d, "mix_targets"))
+    used, _ = mixing.mix(mixing.count(_documents(spark, d)), read(spark, d, "mix_targets"))
     return mixing.arrange(stage_table(used, "uses"))
 
 
@@ -129,7 +145,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_clean, p4_found, p4_splits, p5_found, p5_pairs, p6_found, p6_report, p7_pack, p7_report, p8_uses, p8_shares, p8_arranged, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_clean, p4_found, p4_splits, p5_found, p5_pairs, p6_found, p6_report, p7_pack, p7_report, p8_uses, p8_shares, p8_large_uses, p8_large_shares, p8_arranged, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

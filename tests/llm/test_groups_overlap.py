@@ -9,7 +9,7 @@ pytest.importorskip("benchsieve.llm")
 from pyspark.sql import functions as F
 
 from benchsieve.llm import components, crosssplit, groupsplit
-from benchsieve.llm.prefix import running_total
+from benchsieve.llm.prefix import hash_bucket, running_total
 
 
 def union_find(edges):
@@ -92,7 +92,7 @@ def test_shares_with_a_giant_group(spark):
 
 def test_running_total(spark):
     df = spark.range(500).withColumn("g", F.col("id") % 3).withColumn("h", F.sha2(F.col("id").cast("string"), 256))
-    rows = running_total(df, ["g"], "h", F.col("id"), "before", buckets=16).collect()
+    rows = running_total(df, ["g"], ["h"], F.col("id"), "before", hash_bucket("h", 16)).collect()
     for g in range(3):
         run = 0
         for r in sorted((r for r in rows if r["g"] == g), key=lambda r: r["h"]):

@@ -54,7 +54,7 @@ def mixture(spark, total=None):
     rows = [(i, f"some words {i} " * (1 + i % 7), ["a", "b", "c"][0 if i % 2 else 1 + (i % 10 == 0)]) for i in range(600)] + [(900, "x", None), (901, None, "a"), (902, "y " * 10, "other")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("uses", F.lit("clash"))
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.2, 2), ("c", 0.2, 4), ("gone", 0.1, 3), ("c", 0.2, 4)], "source_name string, target_share double, max_repeats int")
-    return docs, *mixing.mix(docs, targets, total)
+    return docs, *mixing.mix(mixing.count(docs), targets, total)
 
 
 def test_mix(spark):
@@ -81,15 +81,26 @@ def test_arrange(spark):
     by = {}
     for r in placed:
         by.setdefault(r["shard"], []).append(r["position"])
+    assert {(r["doc_id"], r["uses"]) for r in mixing.counted_uses(used, mixing.arrange(used, shard_tokens=500)).collect()} == {(r["doc_id"], r["uses"]) for r in used.collect()}
     assert len(by) > 3 and all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert mixing.arrange(used.limit(0)).count() == 0
 
 
-def test_split_tree():
+def test_split_tree(spark):
     for copies, shards in (([100, 30, 7], 8), ([5], 3), ([0, 0, 9], 4), ([10**10, 3], 2)):
-        t = mixing.split_tree(copies, shards)
-        assert t.sum(0).tolist() == copies and t.min() >= 0 and t.sum(1).max() - t.sum(1).min() <= 1
-    assert (mixing.split_tree([50, 50], 4) == mixing.split_tree([50, 50], 4)).all()
+        t = list(mixing.leaves(mixing.Node(0, shards, 1, copies, [0] * len(copies)), 0))
+        have = np.array([x.have for x in t])
+        assert [x.left for x in t] == list(range(shards)) and have.sum(0).tolist() == copies and have.min() >= 0 and have.sum(1).max() - have.sum(1).min() <= 1
+        assert (np.array([x.before for x in t]) == np.cumsum(have, 0) - have).all()
+    # what the driver leaves to tasks is what it would have made itself
+    want = {(s, x.left, x.before[i], x.have[i]) for x in mixing.leaves(mixing.Node(0, 700, 1, [4000, 900], [0, 0]), 0) for i, s in enumerate("ab") if x.have[i]}
+    assert {tuple(r) for r in mixing.shard_quotas(spark, ["a", "b"], [4000, 900], 700).collect()} == want
+
+
+def test_larger_mixture_uses_up_scarce_sources(spark):
+    _, used, plan = mixture(spark, 10**7)
+    rep = {r["source"]: r for r in mixing.share_report(used, plan).collect()}
+    assert all(rep[s]["status"] == "short" and rep[s]["tokens_used"] == rep[s]["tokens"] * rep[s]["max_repeats"] and rep[s]["tokens_unused"] == 0 for s in "abc")
 
 
 def check(text, limit=64, overlap=8):
