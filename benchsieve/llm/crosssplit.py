@@ -1,8 +1,8 @@
 """Problem 6: the same or nearly the same record in several splits.
 
 The content-word n-grams of the evaluation records (three content words in a
-row, which span five running words and more) are hashed and broadcast in
-bounded blocks; the training records are scanned for hits, and for each pair
+row, which span five running words and more) are hashed and broadcast, or
+partitioned by hash where they are too large for that; the training records are scanned for hits, and for each pair
 with hits the containment of either question in the whole other record decides.
 No window is left out, however many records share it. Short questions, whose
 windows a few slips can all destroy, are looked for by their rarest words.
@@ -12,15 +12,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from benchsieve.llm.words import FIRST_WORD, UNKNOWN, ShingleIndex, Words
-from benchsieve.llm.overlap import broadcast_index, query_blocks
+from benchsieve.llm.overlap import BLOCK_CHARS, broadcast_index
+from benchsieve.llm.words import FIRST_WORD, UNKNOWN, ContentHashes, ShingleIndex, hashed_windows, mixed
+from benchsieve.session import stage_table
 
 EVALUATION = ("test", "validation")
 #: Bodies of fewer content words need but one window; under ``FEW`` none, and so do Han bodies under ``FEW_HAN`` signs.
@@ -60,7 +60,13 @@ def _contained(a: Counter, b: Counter) -> float:
     return sum(min(v, b[w]) for w, v in a.items() if w >= 0 and w in b) / n if n else 0.0
 
 
-def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0.8, min_hits: int = 3) -> DataFrame:
+def _wanted(content: int, han: int) -> tuple[bool, bool]:
+    """Whether a body of so many content words, so many of them Han signs, needs no window, and whether one is enough."""
+    few = content < FEW or 2 * han > 0.6 * content and content < FEW_HAN
+    return few, content < SHORT
+
+
+def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0.8, min_hits: int = 3, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``eval_key``, ``train_key``, ``hits``, ``eval_contained``, ``train_contained``.
 
     Both tables have ``key``, ``body`` and ``context``. A pair counts if the
@@ -71,63 +77,163 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0
     content words says too little, so then one whole record must be contained in
     the other too. ``hits`` is the number of shared windows, which may be none for
     short bodies. Records whose body has no content words match nothing; rows with equal keys are compared each; empty tables
-    give no rows. Training records are scanned where they are, without a shuffle.
+    give no rows.
+
+    Evaluation records of up to ``block_chars`` characters are broadcast, and
+    training records are scanned where they are, without a shuffle. More are
+    partitioned: either side is read once, its hashes are joined by shuffle.
     """
-    spark = training.sparkSession
-    rows_in = training.select("key", "body", "context").where("body is not null")
-    schema = "eval_key string, train_key string, hits int, eval_contained double, train_contained double"
-    found: list[DataFrame] = []
-    for rows, _ in query_blocks(evaluation.select("key", "body", "context").where("body is not null")):
-        shared = broadcast_index(spark, rows)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            reader = index.reader()
-            bags: dict[int, tuple[Counter, Counter]] = {}
-
-            def evaluated(t: int) -> tuple[Counter, Counter]:
-                if t not in bags:
-                    own = index.words[t].astype(np.int64)
-                    bags[t] = (_bag(own, index), _bag(np.concatenate((index.context_words[t].astype(np.int64), own)), index))
-                return bags[t]
-
-            size = np.array([int(index.content[w].sum()) for w in index.words])
-            han = np.array([2 * int(index.han[w].sum()) for w in index.words]) > 0.6 * size
-            few = (size < FEW) | (han & (size < FEW_HAN))
-            post = _prefix({t: evaluated(t)[0] for t in np.flatnonzero(few).tolist()}, similarity)
-            need = np.where(size < SHORT, 1, min_hits)
-
-            for b in batches:
-                out = []
-                for key, body, context in zip(b["key"], b["body"], b["context"]):
-                    own = reader.read(body)
-                    whole = np.concatenate((reader.read(context), own))
-                    text, place, _, _ = index.hits(whole)
-                    pairs = np.unique(text * (1 << 32) + place) >> 32
-                    near, hits = np.unique(pairs, return_counts=True)
-                    enough = hits >= need[near]
-                    bag, bag_whole = _bag(own, index), _bag(whole, index)
-                    n_hits = dict(zip(near[enough].tolist(), hits[enough].tolist()))
-                    if post:
-                        count = dict(zip(near.tolist(), hits.tolist()))
-                        for w in bag_whole:
-                            for t in post.get(w, ()):
-                                n_hits.setdefault(t, count.get(t, 0))
-                    for t, n in n_hits.items():
-                        e, e_whole = evaluated(t)
-                        c1 = _contained(e, bag_whole)
-                        if c1 < similarity:
-                            continue
-                        c2 = _contained(bag, e_whole)
-                        if c2 < similarity:
-                            continue
-                        if min(e.total(), bag.total()) < BARE and max(_contained(e_whole, bag_whole), _contained(bag_whole, e_whole)) < similarity:
-                            continue
-                        out.append((index.keys[t], key, n, c1, c2))
-                yield pd.DataFrame(out, columns=["eval_key", "train_key", "hits", "eval_contained", "train_contained"])
-
-        found.append(rows_in.mapInPandas(run, schema))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    ev, tr = (t.select("key", "body", "context").where("body is not null") for t in (evaluation, training))
+    size = ev.select(F.sum(F.length("body") + F.coalesce(F.length("context"), F.lit(0))).alias("n")).first()["n"] or 0
+    return (_broadcast if size <= block_chars else _partitioned)(ev, tr, similarity, min_hits)
+
+
+SCHEMA = "eval_key string, train_key string, hits int, eval_contained double, train_contained double"
+
+
+def _broadcast(ev: DataFrame, tr: DataFrame, similarity: float, min_hits: int) -> DataFrame:
+    spark = tr.sparkSession
+    rows = ev.orderBy("key").collect()
+    if not rows:
+        return spark.createDataFrame([], SCHEMA)
+    shared = broadcast_index(spark, rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = shared.value
+        reader = index.reader()
+        bags: dict[int, tuple[Counter, Counter]] = {}
+
+        def evaluated(t: int) -> tuple[Counter, Counter]:
+            if t not in bags:
+                own = index.words[t].astype(np.int64)
+                bags[t] = (_bag(own, index), _bag(np.concatenate((index.context_words[t].astype(np.int64), own)), index))
+            return bags[t]
+
+        size = index.flat_len
+        han = np.array([int(index.han[w].sum()) for w in index.words])
+        few, single = (np.array(x, dtype=bool) for x in zip(*map(_wanted, size.tolist(), han.tolist())))
+        post = _prefix({t: evaluated(t)[0] for t in np.flatnonzero(few).tolist()}, similarity)
+        need = np.where(single, 1, min_hits)
+
+        for b in batches:
+            out = []
+            for key, body, context in zip(b["key"], b["body"], b["context"]):
+                own = reader.read(body)
+                whole = np.concatenate((reader.read(context), own))
+                text, place, _, _ = index.hits(whole)
+                pairs = np.unique(text * (1 << 32) + place) >> 32
+                near, hits = np.unique(pairs, return_counts=True)
+                enough = hits >= need[near]
+                bag, bag_whole = _bag(own, index), _bag(whole, index)
+                n_hits = dict(zip(near[enough].tolist(), hits[enough].tolist()))
+                if post:
+                    count = dict(zip(near.tolist(), hits.tolist()))
+                    for w in bag_whole:
+                        for t in post.get(w, ()):
+                            n_hits.setdefault(t, count.get(t, 0))
+                for t, n in n_hits.items():
+                    got = agreement(*evaluated(t), bag, bag_whole, similarity)
+                    if got:
+                        out.append((index.keys[t], key, n, *got))
+            yield pd.DataFrame(out, columns=["eval_key", "train_key", "hits", "eval_contained", "train_contained"])
+
+    return tr.mapInPandas(run, SCHEMA)
+
+
+def agreement(e: Counter, e_whole: Counter, t: Counter, t_whole: Counter, similarity: float) -> tuple[float, float] | None:
+    """How much of either body the other record holds, if enough for a pair."""
+    c1 = _contained(e, t_whole)
+    if c1 < similarity:
+        return None
+    c2 = _contained(t, e_whole)
+    if c2 < similarity:
+        return None
+    if min(e.total(), t.total()) < BARE and max(_contained(e_whole, t_whole), _contained(t_whole, e_whole)) < similarity:
+        return None
+    return c1, c2
+
+
+#: Evaluation records that share a hash are split into groups of about so many.
+GROUP = 500
+
+
+def _hash_bag(content: np.ndarray) -> Counter:
+    """As ``_bag``, of words given as hashes."""
+    han = (content & 1).astype(bool)
+    bag = Counter(content[~han].tolist())
+    if han.any():
+        both = np.flatnonzero(han[:-1] & han[1:])
+        bag.update(mixed([content[both], content[both + 1]]).tolist())
+    return bag
+
+
+def _hashes(df: DataFrame, evaluation: bool) -> DataFrame:
+    """``key``, ``h``, ``kind`` and ``need``: hashes of windows (kind w) and words (kind b, of an evaluation record only if it is short)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = ContentHashes()
+        for b in batches:
+            keys, hs, kinds, needs, counts = [], [], [], [], []
+            for key, body, context in zip(b["key"], b["body"], b["context"]):
+                own = words.read(body)
+                whole = own if evaluation else np.concatenate((words.read(context), own))
+                few, single = _wanted(len(own), int((own & 1).sum()))
+                w = hashed_windows(whole)
+                bag = _hash_bag(whole) if few or not evaluation else {}
+                keys += [key] * (len(w) + len(bag))
+                hs += w.tolist() + list(bag)
+                kinds += ["w"] * len(w) + ["b"] * len(bag)
+                needs += [1 if single else 0] * (len(w) + len(bag))
+                counts += [0] * len(w) + list(bag.values())
+            yield pd.DataFrame({"key": keys, "h": hs, "kind": kinds, "single": needs, "n": counts})
+
+    return df.mapInPandas(run, "key string, h bigint, kind string, single int, n int")
+
+
+def _partitioned(ev: DataFrame, tr: DataFrame, similarity: float, min_hits: int) -> DataFrame:
+    """Hashes of both sides meet by shuffle; hot ones are split into groups of evaluation records, to each of which the training records are dealt."""
+    mine = stage_table(_hashes(ev, True), "eval-hashes")
+    # of a short body only its rarest words, one of which a record that holds enough of it must have
+    words = mine.where("kind = 'b'")
+    df = words.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("key")
+    ranked = words.join(df, "h").withColumn("total", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    rare = ranked.where(F.col("before") < F.floor((1 - similarity) * F.col("total") + 1e-9) + 1).select("key", "h", "kind", "single")
+    own = mine.where("kind = 'w'").select("key", "h", "kind", "single").unionByName(rare)
+    parts = own.groupBy("h", "kind").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    dealt = own.join(parts, ["h", "kind"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    theirs = _hashes(tr, False).select(F.col("key").alias("train_key"), "h", "kind").join(parts, ["h", "kind"])
+    theirs = theirs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = dealt.select(F.col("key").alias("eval_key"), "h", "kind", "part", "single").join(theirs.select("train_key", "h", "kind", "part"), ["h", "kind", "part"])
+    hits = F.count_if(F.col("kind") == "w").cast("int")
+    cand = met.groupBy("eval_key", "train_key").agg(hits.alias("hits"), F.max("single").alias("single"), F.count_if(F.col("kind") == "b").alias("rare"))
+    cand = stage_table(cand.where((F.col("rare") > 0) | (F.col("hits") >= F.when(F.col("single") == 1, 1).otherwise(min_hits))).select("eval_key", "train_key", "hits"), "candidates")
+    both = cand.join(ev.select(F.col("key").alias("eval_key"), F.col("body").alias("e_body"), F.col("context").alias("e_context")), "eval_key").join(
+        tr.select(F.col("key").alias("train_key"), F.col("body").alias("t_body"), F.col("context").alias("t_context")), "train_key"
+    )
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = ContentHashes()
+        bags: dict[tuple, tuple[Counter, Counter]] = {}
+
+        def read(body: str, context: str | None) -> tuple[Counter, Counter]:
+            got = bags.get((body, context))
+            if got is None:
+                if len(bags) > 20_000:
+                    bags.clear()
+                own = words.read(body)
+                got = bags[body, context] = (_hash_bag(own), _hash_bag(np.concatenate((words.read(context), own))))
+            return got
+
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                got = agreement(*read(r.e_body, r.e_context), *read(r.t_body, r.t_context), similarity)
+                if got:
+                    out.append((r.eval_key, r.train_key, r.hits, *got))
+            yield pd.DataFrame(out, columns=["eval_key", "train_key", "hits", "eval_contained", "train_contained"])
+
+    return both.select("eval_key", "train_key", "hits", "e_body", "e_context", "t_body", "t_context").mapInPandas(judge, SCHEMA)
 
 
 def _records(problems: DataFrame) -> DataFrame:

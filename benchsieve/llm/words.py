@@ -11,6 +11,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -215,6 +216,48 @@ class Values(dict):
         return got[:, 1]
 
 
+class ContentHashes(dict):
+    """Chunk to the hashes of its content words, the same in every task; Han signs have odd hashes, other words even ones."""
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        w = canonical(chunk)
+        if not isinstance(w, str) or not is_content(w):
+            out: tuple[int, ...] = ()
+        else:
+            h = int.from_bytes(blake2b(w.encode(), digest_size=7).digest()) << 1
+            out = (h + (len(w) == 1 and "㐀" <= w <= "鿿"),)
+        if len(self) >= 400_000:
+            self.clear()
+        self[chunk] = out
+        return out
+
+    def read(self, text: str | None) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, CHUNK.findall(text or ""))), dtype=np.int64)
+
+
+def mixed(parts: list[np.ndarray]) -> np.ndarray:
+    """One hash of as many arrays of hashes, in their order; never negative."""
+    h = np.zeros(len(parts[0]), dtype=np.uint64)
+    for p in parts:
+        h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(2)).astype(np.int64)
+
+
+def hashed_windows(content: np.ndarray) -> np.ndarray:
+    """Different hashes of the windows that ``shingles`` has, of words given as ``ContentHashes``."""
+    n = len(content)
+    if n < 3:
+        return np.zeros(0, dtype=np.int64)
+    h = np.concatenate(([0], np.cumsum(content & 1)))
+    own = np.flatnonzero((h[3:] - h[:-3]) < 3)
+    out = [mixed([content[own + j] for j in range(3)])]
+    if n >= HAN_RUN:
+        run = np.flatnonzero((h[HAN_RUN:] - h[:-HAN_RUN]) == HAN_RUN)
+        out.append(mixed([content[run + j] for j in range(HAN_RUN)]))
+    return np.unique(np.concatenate(out))
+
+
 #: Numbers of words fit in as many bits, so that three of them make one exact key.
 WORD_BITS = 21
 

@@ -48,6 +48,18 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_components_level_by_level(spark):
+    """The graph of colliding seeds is searched like the first where it is too large for one task."""
+    rng = random.Random(8)
+    edges = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(330)] + [(f"c{i}", f"c{i + 1}") for i in range(200)]
+    edges = [(a, b) for a, b in edges if a != b]
+    df = components.components(spark.createDataFrame(edges, "a string, b string"), small=0)
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["component"], set()).add(r["node"])
+    assert sorted(map(sorted, out.values())) == union_find(edges)
+
+
 def test_hubs_are_split(spark):
     edges = [(f"p{i}", "author") for i in range(50)] + [("q", "other")]
     out = components.split_hubs(spark.createDataFrame(edges, "a string, b string"), hub=10)
@@ -136,6 +148,42 @@ def test_hot_groups_keep_every_pair(spark):
     assert got.count() == 100
 
 
+def family(n, seed, words=45):
+    """Near-copies of one text: up to a tenth of the words slipped, each in its own places, some in another notation."""
+    rng = random.Random(seed)
+    base = [f"{a}{b}" for a, b in zip(rng.choices(["noisy", "linear", "weighted", "idle", "coherent", "passive"], k=words), rng.choices(["relay", "queue", "beam", "frame", "margin", "region"], k=words))]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for j in rng.sample(range(words), rng.randrange(words // 10)):
+            t[j] = f"slip{i}x{j}"
+        out.append(" ".join(t).upper() if i % 5 == 0 else " ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("n", [50, 100, 200, 1000])
+def test_large_families_keep_every_link(spark, n):
+    ev, tr = family(n, 3), family(20, 3)
+    got = crosssplit.near_pairs(keyed(spark, [(f"e{i}", t, None) for i, t in enumerate(ev)]), keyed(spark, [(f"t{i}", t, None) for i, t in enumerate(tr)]))
+    bags = lambda ts: [set(t.lower().split()) for t in ts]
+    e, t = bags(ev), bags(tr)
+    want = {(f"e{i}", f"t{j}") for i, a in enumerate(e) for j, b in enumerate(t) if len(a & b) >= 0.8 * max(len(a), len(b))}
+    assert len(want) > 15 * n and {(r["eval_key"], r["train_key"]) for r in got.collect()} >= want
+
+
+def test_partitioned_hashes_give_the_same(spark, monkeypatch):
+    """What is too large to broadcast is shuffled; hot hashes in groups."""
+    monkeypatch.setattr(crosssplit, "GROUP", 7)
+    short = "Derive the smallest covariance margin reached when every passive relay transmits jointly."
+    han = "为了限制相干的离散的编码速率，我们令并固定自适应的稀疏的中继链路，求最大的吞吐量。"
+    ev = [(f"e{i}", t, None) for i, t in enumerate(family(40, 3))] + [(f"s{i}", short.replace("smallest", f"slip{i}"), f"About topic{i}.") for i in range(20)] + [("h", han, None), ("n", None, "x"), ("b", "", None), ("q", "Find the rate $R$.", A)]
+    tr = [(f"t{i}", t, None) for i, t in enumerate(family(20, 3))] + [("s", short, None), ("h2", han.replace("最大", "最小"), BG), ("m", A + " Find the rate $R$.", None), ("o", "Find the rate $R$.", BG), ("n", None, None)]
+    rows = lambda **kw: sorted(tuple(r)[:2] for r in crosssplit.near_pairs(keyed(spark, ev), keyed(spark, tr), **kw).collect())
+    got = rows(block_chars=0)
+    assert got == rows() and {"s", "h2", "m"} <= {r[1] for r in got} and "o" not in {r[1] for r in got}
+    assert crosssplit.near_pairs(keyed(spark, []), keyed(spark, tr), block_chars=-1).count() == 0
+
+
 def test_short_questions(spark):
     ask = "Find the rate $R$."
     ev = [("e", ask, A), ("f", "Find the outage probability floor.", None)]
