@@ -11,8 +11,7 @@ from benchsieve.operators import audit, inference, release, verdicts
 from benchsieve.plans import audit_queries
 from benchsieve.session import read, spread
 
-B = 60  # replicates of the bootstrap queries that SQL repeats
-B_WHOLE = 10_000  # replicates of the whole job, those of the reference
+B = 10_000  # replicates of the bootstrap
 
 
 def _v(spark: SparkSession, d: str, keep: str = "last") -> DataFrame:
@@ -60,8 +59,8 @@ def _complete_sql(src: str) -> str:
 def _boot_sql(src: str, name: str) -> str:
     """CTEs for replicate accuracies of complete cases."""
     return f"""{name}_c AS {_complete_sql(src)}, {name}_i AS (SELECT problem_id, row_number() OVER (ORDER BY problem_id) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT problem_id FROM {name}_c)),
-{name}_m AS (SELECT b, {inference.draw_sql(0, 'b', 'slot', 'n')} AS slot, count(*) AS m FROM {name}_i, range({B}) t(b) GROUP BY 1, 2),
-{name} AS (SELECT b, model, sum(m * is_correct)::DOUBLE / max(n) AS acc FROM {name}_m JOIN {name}_i USING (slot) JOIN {name}_c USING (problem_id) GROUP BY 1, 2),
+{name}_m AS (SELECT b, drawn, any_value(n) AS n, count(*) AS m FROM {inference.draws_sql(0, name + '_i', B)} GROUP BY 1, 2), {name}_v AS (SELECT slot AS drawn, model, is_correct FROM {name}_i JOIN {name}_c USING (problem_id)),
+{name} AS (SELECT b, model, sum(m * is_correct)::DOUBLE / max(n) AS acc FROM {name}_m JOIN {name}_v USING (drawn) GROUP BY 1, 2),
 {name}_a AS (SELECT model, sum(is_correct)::DOUBLE / count(*) AS acc FROM {name}_c GROUP BY 1)"""
 
 
@@ -74,9 +73,14 @@ def _pairs_sql(name: str, cond: str = "i.model < j.model") -> str:
  JOIN (SELECT model_i, model_j, {_CI}, {_P2} AS p FROM (SELECT i.model AS model_i, j.model AS model_j, i.acc - j.acc AS d FROM {name} i JOIN {name} j ON i.b = j.b AND {cond}) GROUP BY 1, 2) USING (model_i, model_j))"""
 
 
+_TOP = "top AS (SELECT model FROM bs_c GROUP BY 1 ORDER BY sum(is_correct) DESC, model LIMIT 1)"
+_VERSUS = "j.model = (SELECT model FROM top) AND i.model <> j.model"
+
+
 def _slots_sql(src: str, by: str, extra: str) -> str:
+    """CTEs for the items with their slots, and how often each replicate drew them."""
     return f"""s AS (SELECT {by}, {extra}, row_number() OVER (PARTITION BY {by} ORDER BY problem_id) - 1 AS slot, count(*) OVER (PARTITION BY {by}) AS n FROM {src}),
-m AS (SELECT {by}, b, {inference.draw_sql(0, 'b', 'slot', 'n')} AS slot, count(*) AS m FROM s, range({B}) t(b) GROUP BY ALL)"""
+m AS (SELECT {by}, b, drawn AS slot, count(*) AS m FROM {inference.draws_sql(0, f'(SELECT {by}, slot, n FROM s)', B)} GROUP BY ALL)"""
 
 
 def _tests(spark: SparkSession, d: str) -> DataFrame:
@@ -125,17 +129,7 @@ def _inside(s, d) -> DataFrame:
 
 def spearman_ci_whole(s, d):
     v = _v(s, d).withColumn("x", F.array_position(F.array(*map(F.lit, verdicts.BUCKETS)), verdicts.bucket("hits_total")).cast("int"))
-    return inference.holm(inference.by_cells(v, "spearman", "x", replicates=B_WHOLE).drop("max_abs"), "p", ["model"])
-
-
-def pair_matrix_whole(s, d):
-    p = _panel(s, d)
-    return inference.pair_matrix(verdicts.complete_cases(p), verdicts.complete_cases(p.where("in_s0")), B_WHOLE)
-
-
-def headline_pairs_whole(s, d):
-    p = verdicts.complete_cases(_panel(s, d).where("in_s0"))
-    return inference.bonferroni(inference.pair_table(p, B_WHOLE, anchor="click"), "p")
+    return inference.holm(inference.by_cells(v, "spearman", "x", replicates=B).drop("max_abs"), "p", ["model"])
 
 
 def boot_pair_acc(s, d):
@@ -148,8 +142,20 @@ def pair_matrix(s, d):
 
 
 def headline_pairs(s, d):
-    p = verdicts.complete_cases(_panel(s, d).where("in_s0"))
-    return inference.bonferroni(inference.pair_table(p, B, anchor="click"), "p")
+    """Every model against the best on clean items, on clean and on all items."""
+    p = _panel(s, d)
+    return inference.headline(verdicts.complete_cases(p.where("in_s0")), B, complete=verdicts.complete_cases(p))
+
+
+def headline_degraded(s, d):
+    """The same table where there are no verdicts on other than clean items."""
+    return inference.headline(verdicts.complete_cases(_panel(s, d).where("in_s0")), B)
+
+
+def boot_delta_by_n(s, d):
+    """Interval and largest gap of full minus clean accuracy for each n of the sweep, with a seed of its own."""
+    v = _v(s, d).drop("in_s0").join(audit_queries.n_sweep(s, d).select("problem_id", "n", "in_s0"), "problem_id")
+    return inference.by_cells(v, "delta", "in_s0", replicates=B, per="n").drop("p")
 
 
 def multiple_tests(s, d):
@@ -284,7 +290,7 @@ def greedy_relabelled(s, d):
 
 
 QUERIES = {
-    **{f.__name__: f for f in (verdict_scan, null_policy, verdict_acc, acc_by_n, pooled_acc, spearman, spearman_ci, boot_pair_acc, pair_matrix, headline_pairs, multiple_tests, avg_rank, exact_format_rows, exact_format_table, normal_forms, mcq_letters, boxed_parts, stable_keys, paper_disjoint_view, view_drift, month_range, era_counts, snapshot_flags, overlap_stats, overlap_buckets, top_flag, licence_counts, problems_per_paper, truncation_rate, memorization_flags, id_checks, greedy_split, greedy_relabelled)},
+    **{f.__name__: f for f in (verdict_scan, null_policy, verdict_acc, acc_by_n, pooled_acc, spearman, spearman_ci, boot_pair_acc, pair_matrix, headline_pairs, headline_degraded, boot_delta_by_n, multiple_tests, avg_rank, exact_format_rows, exact_format_table, normal_forms, mcq_letters, boxed_parts, stable_keys, paper_disjoint_view, view_drift, month_range, era_counts, snapshot_flags, overlap_stats, overlap_buckets, top_flag, licence_counts, problems_per_paper, truncation_rate, memorization_flags, id_checks, greedy_split, greedy_relabelled)},
     "verdict_delta_s0": lambda s, d: verdicts.delta(_v(s, d), "in_s0"),
     "verdict_delta_s1": lambda s, d: verdicts.delta(_v(s, d), "in_s1"),
     "acc_by_format": lambda s, d: verdicts.by_format(_v(s, d), read(s, d, "problems_cc_by")),
@@ -299,12 +305,9 @@ QUERIES = {
     "boot_delta_ci": lambda s, d: inference.delta_ci(_panel(s, d), "in_s0", B),
     "boot_single_ci": lambda s, d: inference.single_ci(_panel(s, d), B),
     "boot_two_sample_ci": lambda s, d: inference.two_sample_ci(_panel(s, d), B),
-    "boot_delta_ci_whole": lambda s, d: inference.by_cells(_v(s, d), "delta", "in_s0", replicates=B_WHOLE).drop("p"),
-    "boot_single_ci_whole": lambda s, d: inference.by_cells(_v(s, d), "single", "in_s0", replicates=B_WHOLE).select("model", "lo", "hi"),
-    "boot_two_sample_ci_whole": lambda s, d: inference.by_cells(_inside(s, d), "two_sample", "inside", replicates=B_WHOLE).select("model", "lo", "hi"),
-    "boot_pair_acc_whole": lambda s, d: inference.replicate_accuracy(verdicts.complete_cases(_panel(s, d)), B_WHOLE),
-    "pair_matrix_whole": pair_matrix_whole,
-    "headline_pairs_whole": headline_pairs_whole,
+    "boot_delta_ci_whole": lambda s, d: inference.by_cells(_v(s, d), "delta", "in_s0", replicates=B).drop("p"),
+    "boot_single_ci_whole": lambda s, d: inference.by_cells(_v(s, d), "single", "in_s0", replicates=B).select("model", "lo", "hi"),
+    "boot_two_sample_ci_whole": lambda s, d: inference.by_cells(_inside(s, d), "two_sample", "inside", replicates=B).select("model", "lo", "hi"),
     "spearman_ci_whole": spearman_ci_whole,
     "boot_numpy_like": lambda s, d: inference.numpy_like(_panel(s, d), "in_s0", 1000),
     "split_membership_classes": lambda s, d: release.paper_classes(read(s, d, "problems_cc_by")),
@@ -353,7 +356,8 @@ j AS (SELECT s.*, f.delta AS delta_full, f.lo AS lo_full, f.hi AS hi_full FROM {
 k AS (SELECT *, row_number() OVER (ORDER BY p, model_i, model_j) AS r, count(*) OVER () AS m FROM j)
 SELECT model_i, model_j, delta, lo, hi, p, delta_full, lo_full, hi_full, coalesce(sign(delta_full) <> sign(delta) AND delta_full <> 0 AND delta <> 0, false) AS sign_change,
  coalesce(r <= max(CASE WHEN p <= 0.05::DOUBLE * (r::DOUBLE / m) THEN r END) OVER (), false) AS bh FROM k""",
-    "headline_pairs": f"WITH {_P}, q AS (SELECT * FROM p WHERE in_s0), {_boot_sql('q', 'bs')} SELECT *, p * count(*) OVER () <= 0.05::DOUBLE AS bonferroni FROM {_pairs_sql('bs', chr(106) + '.model = ' + chr(39) + 'click' + chr(39) + ' AND i.model <> ' + chr(39) + 'click' + chr(39))}",
+    "headline_pairs": f"WITH {_P}, q AS (SELECT * FROM p WHERE in_s0), {_boot_sql('q', 'bs')}, {_boot_sql('p', 'bf')}, {_TOP}, f AS (SELECT model_i, model_j, delta AS delta_full, lo AS lo_full, hi AS hi_full, p AS p_full FROM {_pairs_sql('bf', _VERSUS)}) SELECT s.*, delta_full, lo_full, hi_full, p_full, coalesce(sign(delta_full) <> sign(delta) AND delta_full <> 0 AND delta <> 0, false) AS sign_change, p * count(*) OVER () <= 0.05::DOUBLE AS bonferroni FROM {_pairs_sql('bs', _VERSUS)} s LEFT JOIN f USING (model_i, model_j)",
+    "headline_degraded": f"WITH {_P}, q AS (SELECT * FROM p WHERE in_s0), {_boot_sql('q', 'bs')}, {_TOP} SELECT *, NULL::DOUBLE AS delta_full, NULL::DOUBLE AS lo_full, NULL::DOUBLE AS hi_full, NULL::DOUBLE AS p_full, false AS sign_change, p * count(*) OVER () <= 0.05::DOUBLE AS bonferroni FROM {_pairs_sql('bs', _VERSUS)}",
     "boot_delta_ci": f"""WITH {_P}, {_slots_sql('p', 'model', 'is_correct, in_s0::INT AS i')},
 r AS (SELECT model, b, sum(m * is_correct)::DOUBLE / sum(m) - sum(m * is_correct * i)::DOUBLE / sum(m * i) AS d FROM m JOIN s USING (model, slot) GROUP BY 1, 2 HAVING sum(m * i) > 0)
 SELECT model, count(*) AS replicates, {_CI}, round_even(max(abs(d)), 9) AS max_abs FROM r GROUP BY 1""",
