@@ -148,5 +148,17 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_clean, p4_found, p4_splits, p5_found, p5_pairs, p6_found, p6_report, p7_pack, p7_report, p8_uses, p8_shares, p8_large_uses, p8_large_shares, p8_arranged, p9_pieces)}
 
 
+_PAPER = "nullif(regexp_extract({}, '(?:^|[^0-9])([0-9]{{4}}[.][0-9]{{4,5}})(?:[^0-9]|$)', 1), '')"
+#: Who reaches whom over papers, authors and replacements, by plain recursion.
+_GROUPS = f"""own AS (SELECT DISTINCT problem_id, {_PAPER.format('paper_id')} AS paper FROM paper_disjoint_split_seed0 WHERE paper IS NOT NULL),
+other AS (SELECT DISTINCT problem_id, {_PAPER.format('paper_id')} AS paper FROM problems_cc_by WHERE paper IS NOT NULL AND problem_id NOT IN (SELECT problem_id FROM own WHERE problem_id IS NOT NULL)),
+lic AS (SELECT {_PAPER.format('paper_id')} AS paper, nullif(regexp_extract(lower(trim(author_key)), '^au[-_ ]*0*([1-9][0-9]*)$', 1), '') AS author, {_PAPER.format('replaces_id')} AS replaced FROM source_paper_licenses),
+one AS (SELECT 'Q' || problem_id AS a, 'P' || paper AS b FROM own UNION SELECT 'Q' || problem_id, 'P' || paper FROM other UNION SELECT 'P' || paper, 'A' || author FROM lic WHERE paper IS NOT NULL AND author IS NOT NULL UNION SELECT 'P' || paper, 'P' || replaced FROM lic WHERE paper <> replaced),
+e AS (SELECT a, b FROM one UNION SELECT b, a FROM one), ids AS (SELECT DISTINCT problem_id FROM paper_disjoint_split_seed0 WHERE problem_id IS NOT NULL),
+r AS (SELECT problem_id, 'Q' || problem_id AS node FROM ids UNION SELECT problem_id, b FROM r JOIN e ON a = node),
+groups AS (SELECT r.problem_id, min(m.problem_id) AS group_id, count(*) AS n FROM r JOIN ids m ON r.node = 'Q' || m.problem_id GROUP BY 1)"""
+SQL = {"p4_found": f"WITH RECURSIVE {_GROUPS} SELECT problem_id, group_id FROM groups WHERE n > 1"}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
