@@ -94,12 +94,38 @@ def letter(text_col: str, boxes_col: str) -> Column:
     return F.upper(F.coalesce(*kinds, F.when(F.size(in_boxes) > 0, last(in_boxes)), F.when(F.size(tail) > 0, last(tail)), F.lit("")))
 
 
-def letter_sql(text: str) -> str:
-    """Without the box step, which SQL cannot express."""
-    text = f"regexp_replace({text}, '{LETTERS_SQL}', 'x', 'g')"
+def boxes_sql(source: str, name: str) -> str:
+    """CTEs up to ``name`` (id, p, box): the boxes of ``source`` (id, txt) and their places, found by the running depth of braces.
+
+    A box ends where the depth first falls below that after its brace; one that
+    starts before an earlier box has ended is part of it.
+    """
+    return f"""{name}_c AS (SELECT id, txt, unnest(range(1, length(txt) + 1)) AS pos FROM {source} WHERE contains(txt, '\\boxed')),
+{name}_b AS (SELECT id, pos, sum(CASE c WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY id ORDER BY pos) AS depth, c FROM (SELECT id, pos, substr(txt, pos, 1) AS c FROM {name}_c) WHERE c IN ('{{', '}}')),
+{name}_o AS (SELECT p.id, p.pos AS p, min(b.pos) AS o FROM {name}_c p JOIN {name}_b b ON b.id = p.id AND b.c = '{{' AND b.pos > p.pos + 5 WHERE substr(txt, p.pos, 6) = '\\boxed' GROUP BY 1, 2),
+{name}_e AS (SELECT o.id, p, o, min(e.pos) AS e FROM {name}_o o JOIN {name}_b s ON s.id = o.id AND s.pos = o JOIN {name}_b e ON e.id = o.id AND e.pos > o AND e.depth = s.depth - 1 GROUP BY 1, 2, 3),
+{name} AS (SELECT x.id, p, substr(txt, o + 1, e - o - 1) AS box FROM {name}_e x JOIN {source} t USING (id) WHERE NOT EXISTS (SELECT 1 FROM {name}_e y WHERE y.id = x.id AND y.p < x.p AND x.p < y.e))"""
+
+
+def letter_sql(text: str, boxes: str) -> str:
+    """The letter of ``text``, whose boxes are in the list ``boxes``."""
+    plain = lambda x: f"regexp_replace({x}, '{LETTERS_SQL}', 'x', 'g')"
+    text = plain(text)
+    alone = chr(92) + "b([ABCD])" + chr(92) + "b"
     last = lambda p, x: f"list_extract(regexp_extract_all({x}, '{p}', 1), -1)"
     kinds = ", ".join(last(p, text) for p in LETTER)
-    return f"upper(coalesce({kinds}, {last(chr(92) + 'b([ABCD])' + chr(92) + 'b', f'right({text}, 400)')}, ''))"
+    boxed_one = f"list_extract(list_filter(list_transform({boxes}, lambda b: regexp_extract({plain('b')}, '(?i){alone}', 1)), lambda x: x <> ''), -1)"
+    return f"upper(coalesce({kinds}, {boxed_one}, {last(alone, f'right({text}, 400)')}, ''))"
+
+
+def exact_sql(candidate: str, boxes: str, answer: str, answer_boxes: str, kind: str) -> str:
+    """The condition of ``exact``; the boxes are lists."""
+    refs = f"CASE WHEN len({answer_boxes}) > 0 THEN list_transform({answer_boxes}, lambda r: {normal_form_sql('r')}) ELSE [{normal_form_sql(f'coalesce({answer}, {chr(39) * 2})')}] END"
+    own = f"list_transform({boxes}, lambda b: {normal_form_sql('b')})"
+    met = f"list_reduce({own}, lambda n, b: CASE WHEN n::INT < len({refs}) AND ({refs})[n::INT + 1] = b THEN (n::INT + 1)::VARCHAR ELSE n END, '0')::INT = len({refs})"
+    free = f"len(list_filter({refs}, lambda r: r = '' OR NOT contains({normal_form_sql(candidate)}, r))) = 0"
+    choice = f"{letter_sql(candidate, boxes)} = upper(trim(coalesce({answer}, '')))"
+    return f"coalesce(CASE WHEN coalesce({candidate}, '') = '' THEN false WHEN {kind} = 'MCQ' THEN {choice} WHEN len({boxes}) > 0 THEN {met} ELSE {free} END, false)"
 
 
 def exact(df: DataFrame, candidate: str, answer: str, kind: str) -> DataFrame:
@@ -112,12 +138,11 @@ def exact(df: DataFrame, candidate: str, answer: str, kind: str) -> DataFrame:
     rows = with_boxes(with_boxes(df, candidate, "_cb"), answer, "_ab")
     refs = F.when(F.size("_ab") > 0, F.transform("_ab", normal_form)).otherwise(F.array(normal_form(F.coalesce(answer, F.lit("")))))
     boxes = F.transform("_cb", normal_form)
-    rows = rows.withColumn("_refs", refs).withColumn("_boxes", boxes)
+    rows = rows.withColumn("_refs", refs).withColumn("_boxes", boxes).withColumn("_plain", F.when(F.size("_cb") == 0, normal_form(candidate)))
     # how many references have been met, box by box
     met = F.aggregate("_boxes", F.lit(0), lambda n, b: F.when((n < F.size("_refs")) & (F.try_element_at("_refs", n + 1) == b), n + 1).otherwise(n))
-    plain = normal_form(candidate)
-    free = F.forall("_refs", lambda r: (r != "") & F.contains(plain, r))
+    free = F.forall("_refs", lambda r: (r != "") & F.contains("_plain", r))
     text = F.when(F.size("_boxes") > 0, met == F.size("_refs")).otherwise(free)
     choice = letter(candidate, "_cb") == F.upper(F.trim(F.coalesce(answer, F.lit(""))))
     ok = F.when(F.coalesce(F.col(candidate), F.lit("")) == "", F.lit(False)).when(F.col(kind) == "MCQ", choice).otherwise(text)
-    return rows.withColumn("exact_ok", F.coalesce(ok, F.lit(False))).drop("_cb", "_ab", "_refs", "_boxes")
+    return rows.withColumn("exact_ok", F.coalesce(ok, F.lit(False))).drop("_cb", "_ab", "_refs", "_boxes", "_plain")

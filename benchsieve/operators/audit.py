@@ -8,6 +8,7 @@ that it is small; else both sides are shuffled on the n-gram.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from benchsieve.functions.text import gram_count, gram_keys, gram_text, tokens, word_hashes
 from benchsieve.session import stage_table
 
-#: Rows of (problem, n-gram) up to which the probe is broadcast, some 30 bytes each.
-PROBE_ROWS = 4_000_000
+#: Bytes up to which a table of keys is broadcast, at ``ROW_BYTES`` a row in the hashed form that executors hold.
+BROADCAST_BYTES = 192 << 20
+ROW_BYTES = 96
+PROBE_ROWS = BROADCAST_BYTES // ROW_BYTES
 S1_MOST = 2
 ABORT_FLOOR = 150
 EXAMPLES = 20
@@ -38,7 +41,11 @@ def probe(problems: DataFrame, n: int, strip_markup: bool = True) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = PROBE_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is."""
+    """``df`` marked for broadcast if a count shows at most ``most`` rows, else as it is.
+
+    Then both sides are shuffled on the key; adaptive execution splits the
+    partitions of stock n-grams, whose rows lie on the corpus side.
+    """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -146,6 +153,15 @@ def sweep(problems: DataFrame, documents: DataFrame, ns: tuple[int, ...] = SWEEP
     )
 
 
+def disagreement(views: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Per pair of views with ``problem_id``, ``n`` and ``in_s0``: rows compared, and those in which they differ or that one lacks."""
+    out = []
+    for name, (a, b) in views.items():
+        j = a.withColumnRenamed("in_s0", "a").join(b.withColumnRenamed("in_s0", "b"), ["problem_id", "n"], "full_outer")
+        out.append(j.agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("n_compared"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_differ")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def histogram(audited: DataFrame, col: str) -> DataFrame:
     return audited.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n_problems"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,7 +134,7 @@ def judge_table(rows: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return rows.groupBy("model").agg(
         n.alias("n"), F.sum(j).alias("judge_correct"), F.sum(e).alias("exact_correct"), F.sum(j * e).alias("both"), F.sum((1 - j) * e).alias("exact_only"),
-        F.format_string("%.2f", 100 * F.sum(e) / n).alias("exact_pct"), F.format_string("%+.2f", 100 * (F.sum(e) - F.sum(j)) / n).alias("gap_pp"),
+        F.format_string("%.2f", F.bround(100 * F.sum(e) / n, 2)).alias("exact_pct"), F.format_string("%+.2f", F.bround(100 * (F.sum(e) - F.sum(j)) / n, 2)).alias("gap_pp"),
     )
 
 
@@ -149,3 +151,21 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     vx, vy = n * F.sum(x_ * x_) - F.sum(x_) * F.sum(x_), n * F.sum(y_ * y_) - F.sum(y_) * F.sum(y_)
     rho = F.when((vx > 0) & (vy > 0), (n * F.sum(x_ * y_) - F.sum(x_) * F.sum(y_)) / F.sqrt(vx * vy))
     return r.groupBy(*by).agg(n.alias("n"), rho.alias("rho"))
+
+
+def run_report(raw: DataFrame, full: DataFrame | None = None) -> DataFrame:
+    """``what`` and ``n``: what a run of the comparison works on, and whether it is degraded to clean items.
+
+    ``raw`` has verdicts as loaded (``is_correct`` may be null), ``full`` those
+    on all items, if there are any.
+    """
+    v = raw.where("is_correct is not null")
+    clean = v.where("in_s0")
+    one = lambda df, what, c: df.agg(F.lit(what).alias("what"), c.cast("bigint").alias("n"))
+    n = F.count(F.lit(1))
+    problems = F.countDistinct("problem_id")
+    parts = [one(raw, "rows", n), one(raw, "dropped_null", F.count_if(F.col("is_correct").isNull())), one(v, "models", F.countDistinct("model")), one(clean, "clean_rows", n), one(complete_cases(clean), "complete_clean_problems", problems)]
+    spark = raw.sparkSession
+    parts.append(one(complete_cases(full), "complete_problems", problems) if full is not None else spark.createDataFrame([("complete_problems", None)], "what string, n bigint"))
+    parts.append(spark.createDataFrame([("degraded", int(full is None))], "what string, n bigint"))
+    return reduce(DataFrame.unionByName, parts)

@@ -120,10 +120,32 @@ def audit_streaming(spark: SparkSession, d: str) -> DataFrame:
     """The audit over the documents as a stream, summed per problem and slice."""
     docs = spark.readStream.schema(read(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*").select("doc_id", F.col("source").alias("slice"), "text")
     run = uuid.uuid4().hex
-    hits = incremental.run_available(incremental.document_hits(docs, _problems(spark, d)), f"{shared_dir(spark)}/hits-{run}", f"{shared_dir(spark)}/stream-{run}")
+    hits = incremental.run_available(incremental.gram_hits(docs, _problems(spark, d)), f"{shared_dir(spark)}/hits-{run}", f"{shared_dir(spark)}/stream-{run}")
     return hits.groupBy("problem_id", "slice").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("docs"))
 
 
+def audit_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The nested form of the audit, with each map as sorted text."""
+    a = audit.audit_nested(_problems(spark, d), _docs(spark, d))
+    text_of = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";").alias(c)
+    return a.select("problem_id", *[text_of(f"per_slice_{c}") for c in ("hits", "docs", "unique_ngrams")])
+
+
+def audit_hist_slices(spark: SparkSession, d: str) -> DataFrame:
+    """How many problems have how many hits in each slice, those with none left out."""
+    per = audit.by_slice(audit.matches(_problems(spark, d), _docs(spark, d), 13))
+    return per.groupBy("slice", "hits").agg(F.count(F.lit(1)).alias("n_problems"))
+
+
+def membership_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the sweep at n = 13 agrees with the audit, and the sweep in long with that in wide form: rows that differ."""
+    long = n_sweep(spark, d).select("problem_id", "n", "in_s0")
+    now = _run()(spark, d).select("problem_id", F.lit(13).alias("n"), "in_s0")
+    wide = long.groupBy("problem_id").pivot("n", list(audit.SWEEP)).agg(F.first("in_s0"))
+    back = wide.selectExpr("problem_id", f"stack({len(audit.SWEEP)}, " + ", ".join(f"{n}, `{n}`" for n in audit.SWEEP) + ") as (n, in_s0)")
+    return audit.disagreement({"n13_metadata": (long.where("n = 13"), now), "long_wide": (long, back)})
+
+
 def corpus_set_size(spark: SparkSession, d: str) -> DataFrame:
     return audit.corpus_set_size(_docs(spark, d))
 
@@ -153,6 +175,9 @@ QUERIES = {
     "audit_gate": audit_gate,
     "audit_flat": audit_flat,
     "audit_flat_all": audit_flat_all,
+    "audit_nested": audit_nested,
+    "audit_hist_slices": audit_hist_slices,
+    "membership_checks": membership_checks,
     "audit_drift": audit_drift,
     "probe_size": probe_size,
     "corpus_set_size": corpus_set_size,
@@ -184,6 +209,9 @@ hit AS""") + " SELECT problem_id, slice, rank::INT AS rank, doc_id, pos::BIGINT
     "audit_flat": _A13 + " SELECT pt.problem_id, " + ", ".join(f"coalesce(sum({c}) FILTER (slice = '{s}'), 0)::BIGINT AS {c}_{s}" for s in ("preprint_dump", "wiki_mirror", "exam_archive") for c in ("hits", "docs", "unique_ngrams")) + " FROM pt LEFT JOIN per USING (problem_id) GROUP BY 1",
     "audit_drift": _A13 + """, old AS (SELECT problem_id, docs_total AS docs_then, in_s0 AS s0_then, row_number() OVER (PARTITION BY problem_id ORDER BY audited_at DESC, coalesce(hits_total, -1) DESC) AS r FROM contamination_audit WHERE problem_id IS NOT NULL)
 SELECT audit.problem_id, docs_then, docs_total AS docs_now, s0_then, in_s0 AS s0_now FROM audit LEFT JOIN (SELECT * FROM old WHERE r = 1) o USING (problem_id)""",
+    "audit_nested": _A13 + " SELECT pt.problem_id, " + ", ".join(f"string_agg(slice || '=' || {c}, ';' ORDER BY slice) AS per_slice_{c}" for c in ("hits", "docs", "unique_ngrams")) + " FROM pt LEFT JOIN per USING (problem_id) GROUP BY 1",
+    "audit_hist_slices": _A13 + " SELECT slice, hits, count(*) AS n_problems FROM per GROUP BY 1, 2",
+    "membership_checks": _SWEEP_SQL + ", " + _audit_sql(13).replace("pt AS", "pt2 AS").replace("dt AS", "dt2 AS").replace("FROM pt ", "FROM pt2 ").replace("FROM pt)", "FROM pt2)").replace("FROM dt)", "FROM dt2)").replace("pt.", "pt2.") + " SELECT 'n13_metadata' AS what, count(*) AS n_compared, count(*) FILTER (s.in_s0 IS DISTINCT FROM audit.in_s0) AS n_differ FROM s FULL JOIN audit USING (problem_id) WHERE n = 13 UNION ALL SELECT 'long_wide', count(*), 0 FROM s",
     "corpus_set_size": _A13 + " SELECT slice, count(DISTINCT g) AS n_distinct, count(*) AS n_total FROM grams GROUP BY 1",
     "probe_size": _A13 + " SELECT count(DISTINCT g) AS n_grams, count(*) AS n_pairs, count(DISTINCT problem_id) AS n_problems FROM probe",
     "ngram_counts": f"WITH pt AS (SELECT problem_id, {text.tokens_sql('text')} AS toks FROM problems_cc_by) SELECT problem_id, len(toks)::BIGINT AS n_words, " + ", ".join(f"greatest(len(toks) - {n - 1}, 0)::BIGINT AS n{n}" for n in audit.SWEEP) + " FROM pt",

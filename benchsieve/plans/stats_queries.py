@@ -152,6 +152,13 @@ def headline_degraded(s, d):
     return inference.headline(verdicts.complete_cases(_panel(s, d).where("in_s0")), B)
 
 
+def run_report(s, d):
+    """What the comparison of models works on, with verdicts on all items and without."""
+    raw = read(s, d, "cleaned_jsonl").select("model", "problem_id", "is_correct", F.coalesce("in_s0", F.lit(False)).alias("in_s0"))
+    full = verdicts.run_report(raw, raw.where("is_correct is not null")).withColumn("mode", F.lit("full"))
+    return full.unionByName(verdicts.run_report(raw).withColumn("mode", F.lit("degraded")))
+
+
 def boot_delta_by_n(s, d):
     """Interval and largest gap of full minus clean accuracy for each n of the sweep, with a seed of its own."""
     v = _v(s, d).drop("in_s0").join(audit_queries.n_sweep(s, d).select("problem_id", "n", "in_s0"), "problem_id")
@@ -186,8 +193,7 @@ def normal_forms(s, d):
 
 
 def mcq_letters(s, d):
-    """The announced letter, without the box step."""
-    v = read(s, d, "cleaned_jsonl").select("response_id", "candidate", F.array().cast("array<string>").alias("boxes"))
+    v = answers.with_boxes(spread(read(s, d, "cleaned_jsonl").select("response_id", "candidate")), "candidate", "boxes")
     return v.select("response_id", answers.letter("candidate", "boxes").alias("letter"))
 
 
@@ -290,7 +296,7 @@ def greedy_relabelled(s, d):
 
 
 QUERIES = {
-    **{f.__name__: f for f in (verdict_scan, null_policy, verdict_acc, acc_by_n, pooled_acc, spearman, spearman_ci, boot_pair_acc, pair_matrix, headline_pairs, headline_degraded, boot_delta_by_n, multiple_tests, avg_rank, exact_format_rows, exact_format_table, normal_forms, mcq_letters, boxed_parts, stable_keys, paper_disjoint_view, view_drift, month_range, era_counts, snapshot_flags, overlap_stats, overlap_buckets, top_flag, licence_counts, problems_per_paper, truncation_rate, memorization_flags, id_checks, greedy_split, greedy_relabelled)},
+    **{f.__name__: f for f in (verdict_scan, null_policy, verdict_acc, acc_by_n, pooled_acc, spearman, spearman_ci, boot_pair_acc, pair_matrix, headline_pairs, headline_degraded, run_report, boot_delta_by_n, multiple_tests, avg_rank, exact_format_rows, exact_format_table, normal_forms, mcq_letters, boxed_parts, stable_keys, paper_disjoint_view, view_drift, month_range, era_counts, snapshot_flags, overlap_stats, overlap_buckets, top_flag, licence_counts, problems_per_paper, truncation_rate, memorization_flags, id_checks, greedy_split, greedy_relabelled)},
     "verdict_delta_s0": lambda s, d: verdicts.delta(_v(s, d), "in_s0"),
     "verdict_delta_s1": lambda s, d: verdicts.delta(_v(s, d), "in_s1"),
     "acc_by_format": lambda s, d: verdicts.by_format(_v(s, d), read(s, d, "problems_cc_by")),
@@ -319,6 +325,22 @@ _SPLIT = "lower(trim(split))"
 _NEWEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY audited_at DESC, coalesce(hits_total, -1) DESC) AS r FROM contamination_audit WHERE problem_id IS NOT NULL) WHERE r = 1"
 _MONTH = "(SELECT DISTINCT paper, CASE WHEN m BETWEEN 1 AND 12 THEN (CASE WHEN y < 90 THEN 2000 + y ELSE 1900 + y END) * 100 + m END AS ym FROM (SELECT paper, substr(paper, 1, 2)::INT AS y, substr(paper, 3, 2)::INT AS m FROM " + _YM + " WHERE paper IS NOT NULL))"
 _WHEN = "(SELECT problem_id, ym FROM " + _YM + " a LEFT JOIN " + _MONTH + " b USING (paper))"
+_LISTS = "lists AS (SELECT id, list(box ORDER BY p) AS boxes FROM bx GROUP BY 1)"
+_BOXED = "src AS (SELECT response_id AS id, candidate AS txt FROM cleaned_jsonl), " + answers.boxes_sql("src", "bx") + ", " + _LISTS
+_SCORED = (
+    _BOXED + f""", keys AS (SELECT problem_id AS id, type, CASE WHEN type = 'MCQ' THEN correct_answer ELSE coalesce(correct_answer, answer) END AS txt FROM problems_cc_by WHERE {_SPLIT} = 'test'),
+{answers.boxes_sql('keys', 'kx')}, keyed AS (SELECT keys.*, kb FROM keys LEFT JOIN (SELECT id, list(box ORDER BY p) AS kb FROM kx GROUP BY 1) USING (id)),
+scored AS (SELECT response_id, model, is_correct, {answers.exact_sql('candidate', 'coalesce(boxes, [])', 'keyed.txt', 'coalesce(kb, [])', 'keyed.type')} AS exact_ok FROM cleaned_jsonl JOIN keyed ON keyed.id = problem_id LEFT JOIN lists ON lists.id = response_id)"""
+)
+#: The greedy split step by step: of the papers left, that with the least distance by type, then in number, then the least hash.
+_GREEDY = f"""g AS (SELECT problem_id, coalesce(paper, 'none') AS paper, coalesce(type, '') AS type FROM {_YM}), ty AS (SELECT type, count(*) AS c, row_number() OVER (ORDER BY type) AS i FROM g GROUP BY 1),
+tot AS (SELECT count(*) AS total, round_even(count(*) * 0.2::DOUBLE, 0)::BIGINT AS target, (SELECT list(c ORDER BY i) FROM ty) AS per FROM g),
+pap AS (SELECT paper, sha256('0:' || paper) AS key, sum(c)::BIGINT AS size, list(c ORDER BY i) AS cnt FROM (SELECT paper, i, (SELECT count(*) FROM g WHERE g.paper = x.paper AND g.type = ty.type) AS c FROM (SELECT DISTINCT paper FROM g) x, ty) GROUP BY 1),
+st AS (SELECT 0 AS step, []::VARCHAR[] AS chosen, list_transform((SELECT per FROM tot), lambda z: 0::BIGINT) AS now, 0::BIGINT AS n UNION ALL
+ SELECT step + 1, list_append(chosen, b.paper), list_transform(range(1, len(now) + 1), lambda i: now[i] + b.cnt[i]), n + b.size FROM (
+  SELECT step, chosen, now, n, arg_min(struct_pack(paper := paper, cnt := cnt, size := size), printf('%020d%020d', list_sum(list_transform(range(1, len(now) + 1), lambda i: abs((now[i] + cnt[i]) * total - target * per[i])))::BIGINT, abs(n + size - target)) || key) AS b
+  FROM st, pap, tot WHERE n < target AND NOT list_contains(chosen, paper) GROUP BY ALL)),
+assigned AS (SELECT problem_id, paper, CASE WHEN list_contains((SELECT arg_max(chosen, step) FROM st), paper) THEN 'test' ELSE 'train' END AS split FROM g)"""
 
 
 def _delta_sql(c: str) -> str:
@@ -358,6 +380,10 @@ SELECT model_i, model_j, delta, lo, hi, p, delta_full, lo_full, hi_full, coalesc
  coalesce(r <= max(CASE WHEN p <= 0.05::DOUBLE * (r::DOUBLE / m) THEN r END) OVER (), false) AS bh FROM k""",
     "headline_pairs": f"WITH {_P}, q AS (SELECT * FROM p WHERE in_s0), {_boot_sql('q', 'bs')}, {_boot_sql('p', 'bf')}, {_TOP}, f AS (SELECT model_i, model_j, delta AS delta_full, lo AS lo_full, hi AS hi_full, p AS p_full FROM {_pairs_sql('bf', _VERSUS)}) SELECT s.*, delta_full, lo_full, hi_full, p_full, coalesce(sign(delta_full) <> sign(delta) AND delta_full <> 0 AND delta <> 0, false) AS sign_change, p * count(*) OVER () <= 0.05::DOUBLE AS bonferroni FROM {_pairs_sql('bs', _VERSUS)} s LEFT JOIN f USING (model_i, model_j)",
     "headline_degraded": f"WITH {_P}, q AS (SELECT * FROM p WHERE in_s0), {_boot_sql('q', 'bs')}, {_TOP} SELECT *, NULL::DOUBLE AS delta_full, NULL::DOUBLE AS lo_full, NULL::DOUBLE AS hi_full, NULL::DOUBLE AS p_full, false AS sign_change, p * count(*) OVER () <= 0.05::DOUBLE AS bonferroni FROM {_pairs_sql('bs', _VERSUS)}",
+    "run_report": f"""WITH r AS (SELECT model, problem_id, is_correct, coalesce(in_s0, false) AS in_s0 FROM cleaned_jsonl), v AS (SELECT * FROM r WHERE is_correct IS NOT NULL), c AS (SELECT * FROM v WHERE in_s0),
+x AS (SELECT 'rows' AS what, count(*) AS n FROM r UNION ALL SELECT 'dropped_null', count(*) FILTER (is_correct IS NULL) FROM r UNION ALL SELECT 'models', count(DISTINCT model) FROM v UNION ALL SELECT 'clean_rows', count(*) FROM c
+ UNION ALL SELECT 'complete_clean_problems', count(DISTINCT problem_id) FROM {_complete_sql('c')})
+SELECT 'full' AS mode, * FROM x UNION ALL SELECT 'degraded', * FROM x UNION ALL SELECT 'full', 'complete_problems', count(DISTINCT problem_id) FROM {_complete_sql('v')} UNION ALL SELECT 'degraded', 'complete_problems', NULL UNION ALL SELECT 'full', 'degraded', 0 UNION ALL SELECT 'degraded', 'degraded', 1""",
     "boot_delta_ci": f"""WITH {_P}, {_slots_sql('p', 'model', 'is_correct, in_s0::INT AS i')},
 r AS (SELECT model, b, sum(m * is_correct)::DOUBLE / sum(m) - sum(m * is_correct * i)::DOUBLE / sum(m * i) AS d FROM m JOIN s USING (model, slot) GROUP BY 1, 2 HAVING sum(m * i) > 0)
 SELECT model, count(*) AS replicates, {_CI}, round_even(max(abs(d)), 9) AS max_abs FROM r GROUP BY 1""",
@@ -378,7 +404,14 @@ SELECT model, replicates, lo, hi, p, min(CASE WHEN p <= 0.05::DOUBLE / (m - r) T
 SELECT test, p, p * m <= 0.05::DOUBLE AS bonferroni, coalesce(r <= max(CASE WHEN p <= 0.05::DOUBLE * (r::DOUBLE / m) THEN r END) OVER (), false) AS bh, min(CASE WHEN p <= 0.05::DOUBLE / (m - r + 1) THEN 1 ELSE 0 END) OVER (ORDER BY r) = 1 AS holm FROM k""",
     "avg_rank": "SELECT p_partkey, p_brand, p_size, (rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0)::DOUBLE AS rank FROM part",
     "normal_forms": f"SELECT problem_id, {answers.normal_form_sql('equation')} AS equation_form, {answers.normal_form_sql('correct_answer')} AS answer_form FROM problems_cc_by",
-    "mcq_letters": f"SELECT response_id, CASE WHEN candidate IS NULL THEN '' ELSE {answers.letter_sql('candidate')} END AS letter FROM cleaned_jsonl",
+    "mcq_letters": f"WITH {_BOXED} SELECT response_id, CASE WHEN candidate IS NULL THEN '' ELSE {answers.letter_sql('candidate', 'coalesce(boxes, [])')} END AS letter FROM cleaned_jsonl LEFT JOIN lists ON id = response_id",
+    "boxed_parts": f"WITH {_BOXED} SELECT response_id, coalesce(len(boxes), 0)::INT AS n_boxes, coalesce(array_to_string(boxes, chr(10)), '') AS boxes FROM cleaned_jsonl LEFT JOIN lists ON id = response_id",
+    "exact_format_rows": f"WITH {_SCORED} SELECT response_id, exact_ok FROM scored",
+    "exact_format_table": f"""WITH {_SCORED}, k AS (SELECT model, coalesce(is_correct::BIGINT, 0) AS j, exact_ok::BIGINT AS e FROM scored)
+SELECT model, count(*) AS n, sum(j)::BIGINT AS judge_correct, sum(e)::BIGINT AS exact_correct, sum(j * e)::BIGINT AS both, sum((1 - j) * e)::BIGINT AS exact_only,
+ printf('%.2f', round_even(100 * sum(e)::DOUBLE / count(*), 2)) AS exact_pct, printf('%+.2f', round_even(100 * (sum(e) - sum(j))::DOUBLE / count(*), 2)) AS gap_pp FROM k GROUP BY 1""",
+    "greedy_split": f"WITH RECURSIVE {_GREEDY} SELECT problem_id, paper, split FROM assigned",
+    "greedy_relabelled": f"WITH RECURSIVE {_GREEDY} SELECT p.problem_id, paper_id, p.type, p.split AS original_split, a.split FROM problems_cc_by p JOIN assigned a USING (problem_id)",
     "stable_keys": "SELECT problem_id, sha256(concat('0:', coalesce(paper_id, 'None'))) AS key FROM problems_cc_by",
     "paper_disjoint_view": f"WITH k AS {_YM} SELECT problem_id, paper, type FROM k WHERE {_SPLIT} = 'test' AND paper IS NOT NULL AND paper NOT IN (SELECT paper FROM k WHERE {_SPLIT} = 'train' AND paper IS NOT NULL)",
     "view_drift": f"""WITH k AS {_YM}, a AS (SELECT problem_id FROM k WHERE {_SPLIT} = 'test' AND paper IS NOT NULL AND paper NOT IN (SELECT paper FROM k WHERE {_SPLIT} = 'train' AND paper IS NOT NULL)), b AS (SELECT DISTINCT problem_id FROM paper_disjoint_test)

@@ -34,19 +34,44 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that ``stage_table`` has written, in order.
+_staged: list[str] = []
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Later steps then start from columnar files, with column pruning, instead of
-    running the plan again.
+    running the plan again. ``drop_staged`` deletes what is no longer read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def staged() -> int:
+    """How many tables have been staged so far, for ``drop_staged``."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables staged after ``since`` others, but for the last ``keep``.
+
+    Call it once their readers have been written: results of operators may read
+    staged tables when they run.
+    """
+    end = len(_staged) - keep
+    fs = None
+    for path in _staged[since:end]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = fs or at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(at, True)
+    del _staged[since:end]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows out to all cores when the scan has fewer splits than cores.
 

@@ -95,3 +95,33 @@ def label_views(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 def line_counts(spark: SparkSession, path: str) -> DataFrame:
     """``name`` and ``n_lines`` of the files under ``path``."""
     return spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_name").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def read_audit_labels(spark: SparkSession, root: str, expected: int, ns: tuple[int, ...] = (8, 10, 12, 13, 15)) -> DataFrame:
+    """``problem_id``, ``n``, ``in_s0`` from the folders ``audit-n8``, ``audit-n10`` and so on under ``root``.
+
+    Each must hold ``expected`` different problems, else the read fails.
+    """
+    parts = [spark.read.json(f"{root}/audit-n{n}/contamination-audit.jsonl").select("problem_id", F.lit(n).alias("n"), F.col("in_S0").cast("boolean").alias("in_s0")) for n in ns]
+    rows = reduce(DataFrame.unionByName, parts)
+    return require_counts(rows, "n", "problem_id", expected)
+
+
+def require_counts(rows: DataFrame, group: str, key: str, expected: int) -> DataFrame:
+    """``rows`` unless some ``group`` (a model, an n) has not exactly ``expected`` different keys, each once."""
+    bad = rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys")).where((F.col("rows") != expected) | (F.col("keys") != expected))
+    first = bad.orderBy(group).limit(1).collect()
+    if first:
+        raise ValueError(f"{group} {first[0][0]}: {first[0]['rows']} rows of {first[0]['keys']} different {key}, not {expected}")
+    return rows
+
+
+def read_withheld(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """The manifest of withheld problems (CSV with a header), of one split if given."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows if split is None else rows.where(F.lower(F.trim("split")) == split.strip().lower())
+
+
+def work_list(manifest: DataFrame) -> DataFrame:
+    """The papers of a manifest that are to be fetched: different ``paper_id`` and ``arxiv_id`` in order."""
+    return manifest.select("paper_id", "arxiv_id").distinct().orderBy("paper_id", "arxiv_id")

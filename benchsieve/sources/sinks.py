@@ -23,8 +23,8 @@ def fixed(c: str, places: int, sign: bool = False):
     return F.format_string(f"%{'+' if sign else ''}.{places}f", F.bround(F.col(c).cast("double"), places))
 
 
-def summary(audited: DataFrame, floor: int = 150) -> str:
-    """Markdown: sizes of the clean sets and histograms; what it gathers is one row a count."""
+def summary(audited: DataFrame, floor: int = 150, per_slice: DataFrame | None = None) -> str:
+    """Markdown: sizes of the clean sets and histograms, also of the hits in each slice if given; what it gathers is one row a count."""
     t = audited.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c)).alias(c) for c in ("in_s0", "in_s1", "in_s1_hits")]).first()
     lines = ["# Overlap audit", "", f"- problems: {t['n']}"]
     for c, name in (("in_s0", "no document"), ("in_s1", "at most two documents"), ("in_s1_hits", "at most two occurrences")):
@@ -34,14 +34,30 @@ def summary(audited: DataFrame, floor: int = 150) -> str:
     for col in ("docs_total", "hits_total"):
         lines += ["", f"| {col} | problems |", "|---|---|"]
         lines += [f"| {r['v']} | {r['n']} |" for r in audited.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()]
+    if per_slice is not None:
+        lines += ["", "| slice | hits | problems |", "|---|---|---|"]
+        lines += [f"| {r['slice']} | {r['hits']} | {r['n']} |" for r in per_slice.groupBy("slice", "hits").agg(F.count(F.lit(1)).alias("n")).orderBy("slice", "hits").collect()]
     return "\n".join(lines) + "\n"
 
 
+def _cells(df: DataFrame, places: int) -> list[list[str]]:
+    cell = lambda v: "" if v is None else f"{v:.{places}f}" if isinstance(v, float) else str(v)
+    return [list(map(cell, r)) for r in df.collect()]
+
+
+_TEX_SIGNS = str.maketrans({c: "\\" + c for c in "&%$#_{}"} | {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"})
+
+
+def tex_table(df: DataFrame, places: int = 4) -> str:
+    """A small result table for TeX."""
+    rows = [" & ".join(x.translate(_TEX_SIGNS) for x in r) + r" \\" for r in [df.columns, *_cells(df, places)]]
+    return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", rows[0], r"\hline", *rows[1:], r"\end{tabular}"]) + "\n"
+
+
 def markdown_table(df: DataFrame, places: int = 4) -> str:
     """A small result table; floats with so many places."""
-    rows = df.collect()
-    cell = lambda v: "" if v is None else f"{v:.{places}f}" if isinstance(v, float) else str(v)
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
+    rows = ["| " + " | ".join(r) + " |" for r in [df.columns, *_cells(df, places)]]
+    return "\n".join([rows[0], "|" + "---|" * len(df.columns), *rows[1:]]) + "\n"
 
 
 def stats_json(frames: dict[str, DataFrame]) -> str:
