@@ -54,6 +54,49 @@ def test_delta_ci_is_like_numpy(spark):
     assert (b["lo"], b["hi"]) == tuple(np.quantile(d, [0.025, 0.975]))
 
 
+def test_draws_are_even_and_independent():
+    d = inference.draws(0, np.arange(4000), 40)
+    n = np.bincount(d.ravel(), minlength=40)
+    assert d.min() >= 0 and d.max() == 39 and (((n - 4000) ** 2 / 4000).sum() < 39 + 4 * np.sqrt(78))
+    pairs = np.bincount((d[:, 0::2] * 40 + d[:, 1::2]).ravel(), minlength=1600)  # neighbouring slots
+    assert ((pairs - 50) ** 2 / 50).sum() < 1599 + 4 * np.sqrt(2 * 1599)
+    after = np.bincount((d[:-1, 0] * 40 + d[1:, 0]), minlength=1600)  # neighbouring replicates
+    assert ((after - 2.5) ** 2 / 2.5).sum() < 1599 + 5 * np.sqrt(2 * 1599)
+    assert (inference.draws(1, np.arange(50), 40) != d[:50]).mean() > 0.9
+
+
+def test_headline_and_its_degraded_form(spark):
+    rng = random.Random(2)
+    rows = [(m, f"{i:03d}", int(rng.random() < p), i % 3 > 0) for i in range(150) for m, p in (("a", 0.9), ("b", 0.6), ("c", 0.58))]
+    v = spark.createDataFrame(rows, "model string, problem_id string, is_correct bigint, in_s0 boolean")
+    full = {r["model_i"]: r for r in inference.headline(v.where("in_s0"), 300, complete=v).collect()}
+    assert set(full) == {"b", "c"} and all(r["model_j"] == "a" and r["bonferroni"] and r["p_full"] is not None and r["lo"] <= r["delta"] <= r["hi"] for r in full.values())
+    bare = inference.headline(v.where("in_s0"), 300, anchor="b", models=["c", "gone"]).collect()
+    assert [(r["model_i"], r["model_j"], r["delta_full"], r["sign_change"]) for r in bare] == [("c", "b", None, False)]
+
+
+def test_cells_give_what_items_give(spark):
+    """Intervals per n from counts of cells, against resampled items."""
+    rng = random.Random(4)
+    rows = [("m", n, int(rng.random() < 0.7), rng.random() < 0.2 + n / 40) for n in (8, 13) for _ in range(200)]
+    v = spark.createDataFrame(rows, "model string, n int, is_correct bigint, in_s0 boolean")
+    got = {r["n"]: r for r in inference.by_cells(v, "delta", "in_s0", replicates=4000, per="n").collect()}
+    assert set(got) == {8, 13}
+    for n, r in got.items():
+        x, s = (np.array([float(row[c]) for row in rows if row[1] == n]) for c in (2, 3))
+        at = np.random.default_rng(1).integers(0, 200, size=(4000, 200))
+        d = x[at].mean(1) - (x * s)[at].sum(1) / s[at].sum(1)
+        assert np.abs(np.quantile(d, [0.025, 0.975]) - [r["lo"], r["hi"]]).max() < 0.02 and r["max_abs"] >= max(abs(r["lo"]), abs(r["hi"]))
+
+
+def test_run_report(spark):
+    raw = spark.createDataFrame([("a", "1", True, True), ("b", "1", False, True), ("a", "2", True, False), ("b", "2", None, False)], "model string, problem_id string, is_correct boolean, in_s0 boolean")
+    got = {r["what"]: r["n"] for r in verdicts.run_report(raw).collect()}
+    assert got == {"rows": 4, "dropped_null": 1, "models": 2, "clean_rows": 2, "complete_clean_problems": 1, "complete_problems": None, "degraded": 1}
+    got = {r["what"]: r["n"] for r in verdicts.run_report(raw, raw.where("is_correct is not null")).collect()}
+    assert got["complete_problems"] == 1 and got["degraded"] == 0
+
+
 def test_null_policies_and_scan(spark):
     raw = spark.createDataFrame(
         [("m", "1", True, None, None, None, 1, 1), ("m", "1", False, True, True, 0, 2, 2), ("m", "2", None, None, None, None, 1, 3)],
