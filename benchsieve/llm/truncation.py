@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchsieve.session import stage_table
@@ -207,8 +207,8 @@ def mark_truncated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(run, f"rid {kind}, cut_reason string").withColumnRenamed("rid", id_col)
 
 
-def prefix_links(df: DataFrame, text_col: str, min_chars: int = 16) -> DataFrame:
-    """Distinct values of at least ``min_chars`` that are strict prefixes of a longer value.
+def prefix_links(df: DataFrame, text_col: str, min_chars: int = 1) -> DataFrame:
+    """Distinct values of at least ``min_chars`` signs that are strict prefixes of a longer value.
 
     Columns ``value_hash`` (xxhash64 of the value) and ``value``. Copies are
     folded before the sort. The values are range-partitioned and sorted, so
@@ -239,8 +239,6 @@ def prefix_links(df: DataFrame, text_col: str, min_chars: int = 16) -> DataFrame
             yield pd.DataFrame([(held, part, "last")], columns=["value", "part", "what"])
 
     seen = stage_table(ordered.mapInPandas(run, "value string, part int, what string"), "prefix-links")
-    from pyspark.sql import Window
-
     edge = seen.where("what <> 'link'")
     nxt = F.lead(F.when(F.col("what") == "first", F.col("value"))).over(Window.orderBy("part", F.col("what") == "last"))
     across = edge.withColumn("nxt", nxt).where((F.col("what") == "last") & F.col("nxt").startswith(F.col("value"))).select("value")
@@ -250,22 +248,24 @@ def prefix_links(df: DataFrame, text_col: str, min_chars: int = 16) -> DataFrame
 def truncation_report(df: DataFrame, id_col: str, text_col: str, source_col: str, archived: DataFrame | None = None) -> DataFrame:
     """Per source: n_total, n_truncated, trunc_rate, n_longer_copy; beside the archived figures.
 
+    One pass over the texts marks them, another sorts them for the prefix join.
     Sources are compared without case and outer spaces; a null source is its own
     row. Archived rates in percent (over 1) are divided by 100; where the
     archived count or rate is null it stays null.
     """
     key: Column = F.lower(F.trim(F.col(source_col)))
-    marks = mark_truncated(df, id_col, text_col)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"source_key": b["source_key"], "value_hash": b["value_hash"], "cut": [cut_reason(x) is not None for x in b["value"]]})
+
+    rows = df.select(key.alias("source_key"), F.xxhash64(F.col(text_col)).alias("value_hash"), F.col(text_col).alias("value"))
+    marked = rows.mapInPandas(run, "source_key string, value_hash bigint, cut boolean")
+    # repeated texts of a source are added up before they meet the links, so no hot text is one group of rows
+    per = marked.groupBy("source_key", "value_hash").agg(F.count(F.lit(1)).alias("n"), F.count_if("cut").alias("n_cut"))
     links = prefix_links(df, text_col).select("value_hash", F.lit(1).alias("longer"))
-    rows = (
-        df.select(F.col(id_col).alias("rid"), key.alias("source_key"), F.xxhash64(F.col(text_col)).alias("value_hash"))
-        .join(marks.select(F.col(id_col).alias("rid"), "cut_reason"), "rid", "left")
-        .join(links, "value_hash", "left")
-    )
-    out = rows.groupBy("source_key").agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.count("cut_reason").alias("n_truncated"),
-        F.count(F.when(F.col("cut_reason").isNotNull(), F.col("longer"))).alias("n_longer_copy"),
+    out = per.join(links, "value_hash", "left").groupBy("source_key").agg(
+        F.sum("n").alias("n_total"), F.sum("n_cut").alias("n_truncated"), F.coalesce(F.sum(F.when(F.col("longer") == 1, F.col("n_cut"))), F.lit(0)).alias("n_longer_copy")
     )
     out = out.withColumn("trunc_rate", F.col("n_truncated") / F.col("n_total"))
     if archived is not None:
