@@ -20,6 +20,8 @@ from benchsieve.session import stage_table
 BROADCAST_BYTES = 192 << 20
 ROW_BYTES = 96
 PROBE_ROWS = BROADCAST_BYTES // ROW_BYTES
+#: Documents whose matched places are broadcast, of some hundred places each.
+SPOTS = 100_000
 S1_MOST = 2
 ABORT_FLOOR = 150
 EXAMPLES = 20
@@ -128,24 +130,32 @@ def examples(problems: DataFrame, documents: DataFrame, n: int = 13, most: int =
 def sweep(problems: DataFrame, documents: DataFrame, ns: tuple[int, ...] = SWEEP) -> DataFrame:
     """``problem_id``, ``n``, ``docs_total``, ``hits_total``, ``in_s0`` for every n.
 
-    The corpus is scanned for the least n. A match of a longer n-gram holds a
-    match of a shorter one, so only documents with such are read again, for all
-    other n at once.
+    The corpus is scanned for the least n, and what matches is written with its
+    place. A longer n-gram matches only where the shorter one at its start does,
+    so documents that matched are read again, and longer n-grams are built at
+    those places alone.
     """
     least, *more = sorted(ns)
-    first = matches(problems, documents.withColumn("slice", F.lit("")), least).groupBy("problem_id", "doc_id").agg(F.sum("c").alias("c")).withColumn("n", F.lit(least))
+    own = stage_table(probe(problems, least), "probe")
+    grams = small(own.select("g1", "g2").distinct())
+    spots = stage_table(corpus_grams(documents.withColumn("slice", F.lit("")), least).drop("slice").join(grams, ["g1", "g2"], "left_semi"), "spots")
+    # occurrences are added up before they meet the problems that share an n-gram
+    in_doc = spots.groupBy("doc_id", "g1", "g2").agg(F.count(F.lit(1)).alias("c"))
+    found = in_doc.join(small(own), ["g1", "g2"]).groupBy("problem_id", "doc_id").agg(F.sum("c").alias("c")).select("problem_id", "doc_id", F.lit(least).alias("n"), "c")
+    if more:
+        places = spots.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+        there = documents.join(small(places, SPOTS), "doc_id").select("doc_id", word_hashes("text").alias("hs"), "places").select("doc_id", "hs", F.explode("places").alias("pos"))
 
-    def keyed(df: DataFrame, cols: list[str]) -> DataFrame:
-        t = df.select(*cols, word_hashes("text").alias("hs"))
-        each = F.array(*[F.struct(F.lit(n).alias("n"), gram_keys("hs", n).alias("keys")) for n in more])
-        return t.select(*cols, F.explode(each).alias("e")).select(*cols, "e.n", F.explode("e.keys").alias("k")).select(*cols, "n", "k.g1", "k.g2")
+        def keys_at(n: int) -> Column:
+            part = [F.get("hs", F.col("pos") + j) for j in range(n)]
+            return F.when(F.size("hs") >= F.col("pos") + n, F.struct(F.lit(n).alias("n"), F.xxhash64(*part).alias("g1"), F.hash(*part).alias("g2")))
 
-    found = first.select("problem_id", "doc_id", "n", "c")
-    if more:
-        touched = documents.join(small(first.select("doc_id").distinct()), "doc_id", "left_semi")
-        p = small(stage_table(keyed(problems, ["problem_id"]).distinct(), "probe"))
-        longer = keyed(touched, ["doc_id"]).join(p, ["n", "g1", "g2"]).groupBy("problem_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("c"))
-        found = found.unionByName(longer)
+        longer = there.select("doc_id", F.explode(F.array(*map(keys_at, more))).alias("k")).where("k is not null").select("doc_id", "k.n", "k.g1", "k.g2")
+        each = F.array(*[F.struct(F.lit(n).alias("n"), gram_keys("hs", n).alias("keys")) for n in more])
+        mine = problems.select("problem_id", word_hashes("text").alias("hs")).select("problem_id", F.explode(each).alias("e")).select("problem_id", "e.n", F.explode("e.keys").alias("k"))
+        # few places are left, so the planner may broadcast these rather than all longer n-grams of the problems
+        p = mine.select("problem_id", "n", "k.g1", "k.g2").distinct()
+        found = found.unionByName(stage_table(longer, "longer").join(p, ["n", "g1", "g2"]).groupBy("problem_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("c")).select("problem_id", "doc_id", "n", "c"))
     per = found.groupBy("problem_id", "n").agg(F.sum("c").alias("h"), F.count(F.lit(1)).alias("d"))
     every = problems.select("problem_id", F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"))
     return every.join(per, ["problem_id", "n"], "left").select(
