@@ -99,11 +99,7 @@ def s0_s1_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_flat(spark: SparkSession, d: str) -> DataFrame:
-    return audit.flat(_problems(spark, d), _docs(spark, d), ["preprint_dump", "wiki_mirror", "exam_archive"])
-
-
-def audit_flat_all(spark: SparkSession, d: str) -> DataFrame:
-    """The flat audit over every source of the documents, a bounded list; ``audit_flat`` is the part that SQL repeats."""
+    """The flat audit over every source of the documents, a bounded list; ``audit_by_source`` has the same figures row by row."""
     sources = [r["slice"] for r in _docs(spark, d).select("slice").where("slice is not null").distinct().orderBy("slice").collect()]
     return audit.flat(_problems(spark, d), _docs(spark, d), sources)
 
@@ -174,7 +170,6 @@ QUERIES = {
     "audit_hist_hits": audit_hist_hits,
     "audit_gate": audit_gate,
     "audit_flat": audit_flat,
-    "audit_flat_all": audit_flat_all,
     "audit_nested": audit_nested,
     "audit_hist_slices": audit_hist_slices,
     "membership_checks": membership_checks,
@@ -206,7 +201,6 @@ hit AS""") + " SELECT problem_id, slice, rank::INT AS rank, doc_id, pos::BIGINT
     "audit_hist_docs": _A13 + " SELECT docs_total AS value, count(*) AS n_problems FROM audit GROUP BY 1",
     "audit_hist_hits": _A13 + " SELECT hits_total AS value, count(*) AS n_problems FROM audit GROUP BY 1",
     "audit_gate": _A13 + " SELECT sum(in_s1::INT)::BIGINT AS s1_count, sum(in_s1::INT) < 150 AS below_floor FROM audit",
-    "audit_flat": _A13 + " SELECT pt.problem_id, " + ", ".join(f"coalesce(sum({c}) FILTER (slice = '{s}'), 0)::BIGINT AS {c}_{s}" for s in ("preprint_dump", "wiki_mirror", "exam_archive") for c in ("hits", "docs", "unique_ngrams")) + " FROM pt LEFT JOIN per USING (problem_id) GROUP BY 1",
     "audit_drift": _A13 + """, old AS (SELECT problem_id, docs_total AS docs_then, in_s0 AS s0_then, row_number() OVER (PARTITION BY problem_id ORDER BY audited_at DESC, coalesce(hits_total, -1) DESC) AS r FROM contamination_audit WHERE problem_id IS NOT NULL)
 SELECT audit.problem_id, docs_then, docs_total AS docs_now, s0_then, in_s0 AS s0_now FROM audit LEFT JOIN (SELECT * FROM old WHERE r = 1) o USING (problem_id)""",
     "audit_nested": _A13 + " SELECT pt.problem_id, " + ", ".join(f"string_agg(slice || '=' || {c}, ';' ORDER BY slice) AS per_slice_{c}" for c in ("hits", "docs", "unique_ngrams")) + " FROM pt LEFT JOIN per USING (problem_id) GROUP BY 1",

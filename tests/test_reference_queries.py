@@ -39,7 +39,7 @@ def test_equals_sql(spark, sf, db, name):
 
 #: What every row of a query without a SQL twin must hold, and whether there must be rows.
 HOLDS = {
-    "audit_flat_all": "hits_preprint_dump >= unique_ngrams_preprint_dump and hits_preprint_dump >= docs_preprint_dump",
+    "audit_flat": "hits_preprint_dump >= unique_ngrams_preprint_dump and hits_preprint_dump >= docs_preprint_dump",
     "audit_bloom": "hits_bloom >= 0",
     "boot_numpy_like": "lo <= hi and replicates > 900",
     "boot_delta_by_n": "lo <= hi and max_abs >= abs(lo) and max_abs >= abs(hi) and replicates <= 10000",

@@ -113,7 +113,7 @@ def test_stats_json_and_sums(spark):
 def test_flat_has_every_source(spark, sf):
     from benchsieve.plans import audit_queries as q
 
-    rows = q.audit_flat_all(spark, sf).collect()
+    rows = q.audit_flat(spark, sf).collect()
     want = {(r["problem_id"], r["slice"]): (r["hits"], r["docs"], r["unique_ngrams"]) for r in q.audit_by_source(spark, sf).collect()}
     sources = {r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()}
     assert want and {c[len("hits_"):] for c in rows[0].asDict() if c.startswith("hits_")} == sources
