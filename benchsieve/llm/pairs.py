@@ -359,7 +359,8 @@ def by_coverage(got: Tagged, tags: list[int], q: Question) -> str | None:
         whole = len(q.asked - set(got.units)) <= 0.03 * len(q.asked) and echo_share(_units(_plain(got.parts[-1].whole())), q) >= 0.6
         if got.cut is None or whole:
             return "copied"
-    if cover[FOREIGN] > 0.5:
+    # bare formulas and letters are in no language, so some foreign clause must show another one
+    if cover[FOREIGN] > 0.5 and any(t == FOREIGN and x[i][OTHER_LANG] for i, t in enumerate(tags)):
         return "language"
     if tags[-1] == UNFINISHED and got.cut is not None:
         return "truncated"

@@ -151,6 +151,15 @@ def test_the_field_decides():
             assert pairs.defects([(text, q)], crf) == [want], text
 
 
+def test_bare_answers_are_in_no_language():
+    """Whatever the field makes of a clause that says nothing in words."""
+    for question in (Q, "Die langsame Kopplung begrenzt die Leistung, solange der Wert unter 5 dB liegt. Bestimmen Sie das Ergebnis."):
+        q = pairs.Question(question, None)
+        for text in ("A", "\\boxed{x+y}", "$x+y$", "D"):
+            got = pairs.prepared(text, q)
+            assert pairs.by_coverage(got, [pairs.FOREIGN] * len(got.parts), q) is None
+
+
 def test_clauses_keep_all_text():
     rng = random.Random(6)
     bits = ["The gain", " is $x.y$", ". ", "\n", "so \\(a. b\\) ", "\n\n", "- ", "很大。", "<p>a</p>", "? ", "\x02", " and\nthen "]
