@@ -2,7 +2,7 @@
 
 The content-word n-grams of the evaluation records (three content words in a
 row, which span five running words and more) are hashed and broadcast, or
-partitioned by hash where they are too large for that; the training records are scanned for hits, and for each pair
+written to files of hashes where they are too large for that; the training records are scanned for hits, and for each pair
 with hits the containment of either question in the whole other record decides.
 No window is left out, however many records share it. Short questions, whose
 windows a few slips can all destroy, are looked for by their rarest words.
@@ -10,17 +10,21 @@ windows a few slips can all destroy, are looked for by their rarest words.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchsieve.llm.overlap import BLOCK_CHARS, broadcast_index
 from benchsieve.llm.words import FIRST_WORD, UNKNOWN, ContentHashes, ShingleIndex, hashed_windows, mixed
-from benchsieve.session import stage_table
+from benchsieve.session import register_staged, shared_dir
 
 EVALUATION = ("test", "validation")
 #: Bodies of fewer content words need but one window; under ``FEW`` none, and so do Han bodies under ``FEW_HAN`` signs.
@@ -81,11 +85,12 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, similarity: float = 0
 
     Evaluation records of up to ``block_chars`` characters are broadcast, and
     training records are scanned where they are, without a shuffle. More are
-    partitioned: either side is read once, its hashes are joined by shuffle.
+    hashed into files of that size, which all tasks map into memory; either side
+    is read once, and neither hashes nor pairs are shuffled.
     """
     ev, tr = (t.select("key", "body", "context").where("body is not null") for t in (evaluation, training))
     size = ev.select(F.sum(F.length("body") + F.coalesce(F.length("context"), F.lit(0))).alias("n")).first()["n"] or 0
-    return (_broadcast if size <= block_chars else _partitioned)(ev, tr, similarity, min_hits)
+    return _broadcast(ev, tr, similarity, min_hits) if size <= block_chars else _partitioned(ev, tr, similarity, min_hits, max(block_chars, 0))
 
 
 SCHEMA = "eval_key string, train_key string, hits int, eval_contained double, train_contained double"
@@ -153,10 +158,6 @@ def agreement(e: Counter, e_whole: Counter, t: Counter, t_whole: Counter, simila
     return c1, c2
 
 
-#: Evaluation records that share a hash are split into groups of about so many.
-GROUP = 500
-
-
 def _hash_bag(content: np.ndarray) -> Counter:
     """As ``_bag``, of words given as hashes."""
     han = (content & 1).astype(bool)
@@ -167,73 +168,247 @@ def _hash_bag(content: np.ndarray) -> Counter:
     return bag
 
 
-def _hashes(df: DataFrame, evaluation: bool) -> DataFrame:
-    """``key``, ``h``, ``kind`` and ``need``: hashes of windows (kind w) and words (kind b, of an evaluation record only if it is short)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = ContentHashes()
-        for b in batches:
-            keys, hs, kinds, needs, counts = [], [], [], [], []
-            for key, body, context in zip(b["key"], b["body"], b["context"]):
-                own = words.read(body)
-                whole = own if evaluation else np.concatenate((words.read(context), own))
-                few, single = _wanted(len(own), int((own & 1).sum()))
-                w = hashed_windows(whole)
-                bag = _hash_bag(whole) if few or not evaluation else {}
-                keys += [key] * (len(w) + len(bag))
-                hs += w.tolist() + list(bag)
-                kinds += ["w"] * len(w) + ["b"] * len(bag)
-                needs += [1 if single else 0] * (len(w) + len(bag))
-                counts += [0] * len(w) + list(bag.values())
-            yield pd.DataFrame({"key": keys, "h": hs, "kind": kinds, "single": needs, "n": counts})
-
-    return df.mapInPandas(run, "key string, h bigint, kind string, single int, n int")
-
-
-def _partitioned(ev: DataFrame, tr: DataFrame, similarity: float, min_hits: int) -> DataFrame:
-    """Hashes of both sides meet by shuffle; hot ones are split into groups of evaluation records, to each of which the training records are dealt."""
-    mine = stage_table(_hashes(ev, True), "eval-hashes")
-    # of a short body only its rarest words, one of which a record that holds enough of it must have
-    words = mine.where("kind = 'b'")
-    df = words.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("key")
-    ranked = words.join(df, "h").withColumn("total", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    rare = ranked.where(F.col("before") < F.floor((1 - similarity) * F.col("total") + 1e-9) + 1).select("key", "h", "kind", "single")
-    own = mine.where("kind = 'w'").select("key", "h", "kind", "single").unionByName(rare)
-    parts = own.groupBy("h", "kind").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    dealt = own.join(parts, ["h", "kind"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    theirs = _hashes(tr, False).select(F.col("key").alias("train_key"), "h", "kind").join(parts, ["h", "kind"])
-    theirs = theirs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = dealt.select(F.col("key").alias("eval_key"), "h", "kind", "part", "single").join(theirs.select("train_key", "h", "kind", "part"), ["h", "kind", "part"])
-    hits = F.count_if(F.col("kind") == "w").cast("int")
-    cand = met.groupBy("eval_key", "train_key").agg(hits.alias("hits"), F.max("single").alias("single"), F.count_if(F.col("kind") == "b").alias("rare"))
-    cand = stage_table(cand.where((F.col("rare") > 0) | (F.col("hits") >= F.when(F.col("single") == 1, 1).otherwise(min_hits))).select("eval_key", "train_key", "hits"), "candidates")
-    both = cand.join(ev.select(F.col("key").alias("eval_key"), F.col("body").alias("e_body"), F.col("context").alias("e_context")), "eval_key").join(
-        tr.select(F.col("key").alias("train_key"), F.col("body").alias("t_body"), F.col("context").alias("t_context")), "train_key"
-    )
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lists(groups: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, where the texts of each start, and the texts."""
+    hashes = sorted(groups)
+    start = np.cumsum([0, *(len(groups[h]) for h in hashes)])
+    return np.array(hashes, dtype=np.int64), start, np.array([t for h in hashes for t in groups[h]], dtype=np.int32)
+
+
+def _arrays(bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(bag, dtype=np.int64, count=len(bag)), np.fromiter(bag.values(), dtype=np.int32, count=len(bag))
+
+
+def _flat(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, how often each, and where each bag starts."""
+    return np.concatenate([w for w, _ in bags]), np.concatenate([n for _, n in bags]), np.cumsum([0, *(len(w) for w, _ in bags)])
+
+
+def _masks(word: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Four numbers for each bag, whose 256 bits mark hashes of its words: a bit that another bag lacks is a word that it lacks."""
+    out = np.zeros((4, len(start) - 1), dtype=np.uint64)
+    for i in range(0, len(start) - 1, 10_000):
+        own = start[i : i + 10_001]
+        bit = np.zeros((len(own) - 1, 256), dtype=bool)
+        bit[np.repeat(np.arange(len(own) - 1), np.diff(own)), _slot(word[own[0] : own[-1]], 8)] = True
+        out[:, i : i + len(own) - 1] = np.packbits(bit, axis=1).view(np.uint64).T
+    return out
+
+
+def _lack(n: np.ndarray, start: np.ndarray, similarity: float) -> np.ndarray:
+    """How many words of each bag a record that holds ``similarity`` of it may lack."""
+    total = np.diff(np.concatenate(([0], np.cumsum(n)))[start])
+    return np.floor((1 - similarity) * total + 1e-6).astype(np.int16)
+
+
+class HashBlock(NamedTuple):
+    """Hashes of a bounded number of evaluation records; each array is read where it lies in a file."""
+
+    key: np.ndarray  # different window hashes in order, where the records of each start, and the records
+    row_start: np.ndarray
+    text: np.ndarray
+    rare: np.ndarray  # the same of the rarest words of short bodies
+    rare_start: np.ndarray
+    rare_text: np.ndarray
+    single: np.ndarray  # whether one window is enough
+    mask: np.ndarray  # of the words of the bodies, as ``_masks`` has them, and how many words a record may lack
+    lack: np.ndarray
+    whole_mask: np.ndarray
+    word: np.ndarray  # words of the bodies
+    n: np.ndarray
+    start: np.ndarray
+    whole_word: np.ndarray  # and of the bodies with their contexts
+    whole_n: np.ndarray
+    whole_start: np.ndarray
+    name: np.ndarray  # keys of the records, in UTF-8
+    name_start: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, str, str | None]], words: ContentHashes, similarity: float) -> HashBlock:
+        windows, bags, wholes, single, short = [], [], [], [], {}
+        for t, (_, body, context) in enumerate(rows):
+            own = words.read(body)
+            few, one = _wanted(len(own), int((own & 1).sum()))
+            windows.append(hashed_windows(own))
+            bag = _hash_bag(own)
+            bags.append(_arrays(bag))
+            wholes.append(_arrays(_hash_bag(np.concatenate((words.read(context), own)))) if context else bags[-1])
+            single.append(one)
+            if few:
+                short[t] = bag
+        n, whole = _flat(bags), _flat(wholes)
+        h = np.concatenate(windows)
+        order = np.argsort(h, kind="stable")
+        key, first = np.unique(h[order], return_index=True)
+        text = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w) for w in windows])[order]
+        names = [k.encode() for k, _, _ in rows]
+        return cls(
+            key, np.append(first, len(h)), text, *_lists(_prefix(short, similarity)), np.array(single, dtype=np.uint8),
+            _masks(n[0], n[2]).ravel(), _lack(n[1], n[2], similarity), _masks(whole[0], whole[2]).ravel(), *n, *whole,
+            np.frombuffer(b"".join(names), dtype=np.uint8), np.cumsum([0, *map(len, names)]),
+        )
+
+    def write(self, uri: str) -> None:
+        fs, path = FileSystem.from_uri(uri)
+        batch = pa.record_batch([pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in self], names=self._fields)
+        with fs.open_output_stream(path) as out, pa.ipc.new_file(out, batch.schema) as file:
+            file.write_batch(batch)
+
+    @classmethod
+    def open(cls, uri: str) -> HashBlock:
+        """A file of the machine is mapped, so that all workers share its pages; another is read."""
+        fs, path = FileSystem.from_uri(uri)
+        file = pa.memory_map(path) if isinstance(fs, LocalFileSystem) else pa.BufferReader(fs.open_input_file(path).read_buffer())
+        batch = pa.ipc.open_file(file).get_batch(0)
+        return cls(*(batch.column(i).values.to_numpy() for i in range(batch.num_columns)))
+
+    def eval_key(self, t: int) -> str:
+        return self.name[self.name_start[t] : self.name_start[t + 1]].tobytes().decode()
+
+    def bags(self, t: int) -> tuple[Counter, Counter]:
+        return tuple(Counter(dict(zip(w[s[t] : s[t + 1]].tolist(), n[s[t] : s[t + 1]].tolist()))) for w, n, s in ((self.word, self.n, self.start), (self.whole_word, self.whole_n, self.whole_start)))
+
+
+def _rows(keys: np.ndarray, start: np.ndarray, text: np.ndarray, hashes: np.ndarray, of: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Record and text for each hash they share, in parts of about ``most`` rows; all rows of a record are in one part. ``hashes`` are in order, ``of`` has the record of each."""
+    if not len(keys) or not len(hashes):
+        return
+    spot = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    some = np.flatnonzero(keys[spot] == hashes)
+    some = some[np.argsort(of[some], kind="stable")]
+    spot, of = spot[some], of[some]
+    low = start[spot]
+    n = start[spot + 1] - low
+    done = np.cumsum(n)
+    i = 0
+    while i < len(of):
+        before = done[i] - n[i]
+        j = int(np.searchsorted(done, before + most, "right"))
+        j = max(int(np.searchsorted(of, of[j], "left")), int(np.searchsorted(of, of[i], "right"))) if j < len(of) else j
+        own = n[i:j]
+        r = np.repeat(low[i:j] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        yield np.repeat(of[i:j], own), text[r]
+        i = j
+
+
+def _slot(x: np.ndarray, bits: int) -> np.ndarray:
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Scanned(NamedTuple):
+    """Training records that are looked for together: hashes of windows and of words in order with the record of each, and masks as evaluation records have."""
+
+    windows: tuple[np.ndarray, np.ndarray]
+    words: tuple[np.ndarray, np.ndarray]
+    mask: np.ndarray
+    lack: np.ndarray
+    whole_mask: np.ndarray
+
+    @classmethod
+    def of(cls, own: list[np.ndarray], whole: list[np.ndarray], similarity: float) -> Scanned:
+        bags, wholes = _flat([_arrays(_hash_bag(x)) for x in own]), _flat([_arrays(_hash_bag(x)) for x in whole])
+        windows = [hashed_windows(x) for x in whole]
+        return cls(
+            _ordered(np.concatenate(windows), np.array([len(x) for x in windows])), _ordered(wholes[0], np.diff(wholes[2])),
+            _masks(bags[0], bags[2]).ravel(), _lack(bags[1], bags[2], similarity), _masks(wholes[0], wholes[2]).ravel(),
+        )
+
+
+def _ordered(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(h)
+    return h[order], np.repeat(np.arange(len(size)), size)[order]
+
+
+def _candidates(block: HashBlock, scanned: Scanned, min_hits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a training record and an evaluation record with enough windows or a rare word in common, and how many windows; without most of those that lack too many words of each other."""
+    many = len(block.single)
+
+    def like(of: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The pairs that may be alike, as one number."""
+        for mine, theirs, lack, turned in ((block.mask, scanned.whole_mask, block.lack, True), (scanned.mask, block.whole_mask, scanned.lack, False)):
+            m, k = len(mine) // 4, len(theirs) // 4
+            lost = np.zeros(len(of), dtype=np.int16)
+            for c in range(4):
+                left, right = (text, of) if turned else (of, text)
+                lost += np.bitwise_count(mine[c * m : (c + 1) * m][left] & ~theirs[c * k : (c + 1) * k][right])
+                if c % 2:
+                    some = np.flatnonzero(lost <= lack[left])
+                    of, text, lost = of[some], text[some], lost[some]
+        return of * many + text
+
+    rare = [like(*x) for x in _rows(block.rare, block.rare_start, block.rare_text, *scanned.words)]
+    rare = np.unique(np.concatenate(rare)) if rare else np.zeros(0, dtype=np.int64)
+    pairs, hits = [], []
+    for x in _rows(block.key, block.row_start, block.text, *scanned.windows):
+        p, n = np.unique(like(*x), return_counts=True)
+        ok = (n >= np.where(block.single[p % many] > 0, 1, min_hits)) | np.isin(p, rare)
+        pairs.append(p[ok])
+        hits.append(n[ok])
+    left = np.setdiff1d(rare, np.concatenate([*pairs, rare[:0]]))
+    p, n = np.concatenate([*pairs, left]), np.concatenate([*hits, np.zeros(len(left), dtype=np.int64)])
+    return p // many, p % many, n
+
+
+#: Training records that are looked for together.
+GROUP = 4_000
+
+
+def _partitioned(ev: DataFrame, tr: DataFrame, similarity: float, min_hits: int, block_chars: int) -> DataFrame:
+    """Evaluation records are hashed into files of at most ``block_chars`` characters or one record, in tasks; training records meet one file after the other in one scan, so no pair is ever shuffled."""
+    folder = f"{shared_dir(tr.sparkSession).rstrip('/')}/eval-hashes-{uuid.uuid4().hex}"
+    fs, path = FileSystem.from_uri(folder)
+    fs.create_dir(path)
+    register_staged(folder)
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = ContentHashes()
-        bags: dict[tuple, tuple[Counter, Counter]] = {}
+        rows, signs = [], 0
 
-        def read(body: str, context: str | None) -> tuple[Counter, Counter]:
-            got = bags.get((body, context))
-            if got is None:
-                if len(bags) > 20_000:
-                    bags.clear()
-                own = words.read(body)
-                got = bags[body, context] = (_hash_bag(own), _hash_bag(np.concatenate((words.read(context), own))))
-            return got
+        def written() -> pd.DataFrame:
+            uri = f"{folder}/{uuid.uuid4().hex}"
+            HashBlock.of(rows, words, similarity).write(uri)
+            return pd.DataFrame({"uri": [uri]})
 
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                got = agreement(*read(r.e_body, r.e_context), *read(r.t_body, r.t_context), similarity)
+            for row in zip(b["key"], b["body"], b["context"]):
+                more = len(row[1]) + len(row[2] or "")
+                if rows and signs + more > block_chars:
+                    yield written()
+                    rows, signs = [], 0
+                rows.append(row)
+                signs += more
+        if rows:
+            yield written()
+
+    group = GROUP
+    uris = [r["uri"] for r in ev.coalesce(max(1, tr.sparkSession.sparkContext.defaultParallelism)).mapInPandas(build, "uri string").collect()]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = ContentHashes()
+        blocks = [HashBlock.open(u) for u in uris]
+        for batch in batches:
+            for i in range(0, len(batch), group):
+                yield pd.DataFrame(met(batch[i : i + group], words, blocks), columns=["eval_key", "train_key", "hits", "eval_contained", "train_contained"])
+
+    def met(b: pd.DataFrame, words: ContentHashes, blocks: list[HashBlock]) -> list[tuple]:
+        own = [words.read(x) for x in b["body"]]
+        whole = [np.concatenate((words.read(c), o)) for c, o in zip(b["context"], own)]
+        scanned = Scanned.of(own, whole, similarity)
+        out = []
+        mine: dict[int, tuple[Counter, Counter]] = {}
+        for block in blocks:
+            theirs: dict[int, tuple[Counter, Counter]] = {}
+            for d, t, n in zip(*(x.tolist() for x in _candidates(block, scanned, min_hits))):
+                if t not in theirs:
+                    theirs[t] = block.bags(t)
+                if d not in mine:
+                    mine[d] = (_hash_bag(own[d]), _hash_bag(whole[d]))
+                got = agreement(*theirs[t], *mine[d], similarity)
                 if got:
-                    out.append((r.eval_key, r.train_key, r.hits, *got))
-            yield pd.DataFrame(out, columns=["eval_key", "train_key", "hits", "eval_contained", "train_contained"])
+                    out.append((block.eval_key(t), b["key"].iat[d], n, *got))
+        return out
 
-    return both.select("eval_key", "train_key", "hits", "e_body", "e_context", "t_body", "t_context").mapInPandas(judge, SCHEMA)
+    return tr.mapInPandas(scan, SCHEMA)
 
 
 def _records(problems: DataFrame) -> DataFrame:

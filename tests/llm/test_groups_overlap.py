@@ -1,7 +1,9 @@
 """Components, group splits and cross-split overlap against brute force."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("benchsieve.llm")
@@ -190,3 +192,26 @@ def test_short_questions(spark):
     tr = [("same", ask, A), ("moved", A + " " + ask, None), ("other", ask, "A stale steering vector uses a step size under a cooperative interference constraint and a limited subcarrier."), ("g", "find the OUTAGE probability floor", None)]
     got = {(r["eval_key"], r["train_key"]) for r in crosssplit.near_pairs(keyed(spark, ev), keyed(spark, tr)).collect()}
     assert got == {("e", "same"), ("e", "moved"), ("f", "g")}
+
+
+def test_partitioned_pairs_are_not_shuffled(spark, monkeypatch):
+    """Records that share windows with very many others: no join, no exchange and no pair on disk, in one file of hashes or in many."""
+    monkeypatch.setattr(crosssplit, "GROUP", 50)
+    ev = [(f"e{i}", t, None) for i, t in enumerate(family(150, 3) + family(150, 4, 24))] + [("f", "Find the rate $R$.", A)]
+    tr = [(f"t{i}", t, BG) for i, t in enumerate(family(120, 3) + family(60, 4, 24))] + [("g", "Find the rate $R$.", A), ("o", BG, A)]
+    want = sorted(tuple(r) for r in crosssplit.near_pairs(keyed(spark, ev), keyed(spark, tr)).collect())
+    assert len(want) > 20_000
+    for chars in (0, 3_000, 70_000):
+        got = crosssplit.near_pairs(keyed(spark, ev), keyed(spark, tr), block_chars=chars)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert sorted(tuple(r)[:2] for r in got.collect()) == [r[:2] for r in want]
+
+
+def test_masks_lose_no_pair():
+    rng = np.random.default_rng(4)
+    bags = [Counter(rng.integers(0, 1 << 50, 40).tolist() * 2) for _ in range(30)]
+    near = [Counter(dict(list(b.items())[: 40 - k % 9])) for k, b in enumerate(bags)]
+    (a, n, s), (b, _, u) = (crosssplit._flat([crosssplit._arrays(x) for x in y]) for y in (bags, near))
+    lost = np.bitwise_count(crosssplit._masks(a, s) & ~crosssplit._masks(b, u)).sum(axis=0)
+    assert (lost <= [k % 9 for k in range(30)]).all() and crosssplit._lack(n, s, 0.8).tolist() == [16] * 30
