@@ -93,6 +93,59 @@ def test_windows_of_very_many_items_come_in_parts():
     assert all(set(a[0]).isdisjoint(b[0]) for i, a in enumerate(parts) for b in parts[:i])
 
 
+def of_one_template(rng, n):
+    """Texts of the same fixed words with other words in between, some of which meet again."""
+    fixed = ["suppose copies of", "compete for the coherent payload while", "uses step size", "under the given constraint of", "determine largest throughput for", "vanishes"]
+    return [" ".join(f"{f} the {rng.choice(LETTERS)}{rng.choice(LETTERS)}ish {rng.choice(LETTERS)}{rng.choice(LETTERS)}ness" for f in fixed) for _ in range(n)]
+
+
+LETTERS = ["ba", "co", "du", "fe", "gi", "ho", "ka", "lu", "me", "ni", "po", "ra"]
+
+
+def scanned(texts, items, sift=True):
+    """Rows of shared windows, rows that are put in order, and the passages found."""
+    index = ShingleIndex([[f"i{k}"] for k in range(len(items))], items, slots=True)
+    met, ordered, rows_in_parts, runs = [], [], index.rows_in_parts, leakage._runs
+    index.rows_in_parts = lambda ids: (met.append(len(p[0])) or p for p in rows_in_parts(ids))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(leakage, "_runs", lambda got, doc, text, *rest: ordered.append(len(text)) or runs(got, doc, text, *rest))
+        if not sift:
+            m.setattr(leakage, "promising", lambda got, doc, r, *rest: np.arange(len(r)))
+            m.setattr(leakage, "alignable", lambda *rest: True)
+        got = sorted((d, *map(str, p)) for d, p in leakage.passages(texts, index.reader(), index, 20, 0.86))
+    return sum(met), sum(ordered), got
+
+
+def test_windows_of_a_template_are_sifted_before_they_are_put_in_order():
+    """A document that has but the stock words of very many items costs little, and what is found is the same."""
+    rng = random.Random(3)
+    items = of_one_template(rng, 3000)
+    stock = "Here uses step size once more. "
+    texts = [FILL * 2 + stock + FILL * 2, FILL + items[7] + FILL, stock + FILL * 4 + stock, FILL + items[11].replace("throughput", "delay") + FILL]
+    met, ordered, got = scanned([texts[0], texts[2]], items)
+    assert got == [] and met >= 9000 and ordered < met / 5
+    _, _, got = scanned(texts, items)
+    assert {g[0] for g in got} == {1, 3} and got == scanned(texts, items, sift=False)[2]
+
+
+def test_sifting_loses_no_passage(monkeypatch):
+    """Noisy copies of items of a template, in parts of any size: as without a sift."""
+    rng = random.Random(8)
+    items = of_one_template(rng, 300)
+    texts = []
+    for k in range(60):
+        words = items[k].split()
+        for _ in range(rng.randrange(9)):
+            p = rng.randrange(len(words))
+            words[p : p + rng.randrange(2)] = rng.choice([[], ["other"], ["also", "other"], rng.sample(words, 1)])
+        texts.append(FILL * rng.randrange(2) + " ".join(words) + ". " + FILL + " ".join(rng.choice(items).split()[: rng.randrange(30)]))
+    want = scanned(texts, items, sift=False)[2]
+    assert len(want) > 40
+    for most in (1_000_000, 700, 20):
+        monkeypatch.setattr(leakage, "SIFTED", most)
+        assert scanned(texts, items)[2] == want
+
+
 def test_spans_are_those_of_best_span():
     rng = np.random.default_rng(2)
     size = rng.integers(1, 30, 200)
