@@ -119,3 +119,31 @@ def test_flat_has_every_source(spark, sf):
     assert want and {c[len("hits_"):] for c in rows[0].asDict() if c.startswith("hits_")} == sources
     got = {(r["problem_id"], s): tuple(r[f"{c}_{s}"] for c in ("hits", "docs", "unique_ngrams")) for r in rows for s in sources}
     assert {k: v for k, v in got.items() if any(v)} == want
+
+
+def sweep_texts(spark):
+    rng = random.Random(5)
+    say = lambda k: " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(k))
+    problems = [(f"p{i}", say(30)) for i in range(60)] + [("short", "a1 b2"), ("none", None)]
+    docs = [(i, "ab"[i % 2], f"{say(40)} {' '.join(problems[i % 60][1].split()[i % 7 : i % 7 + 6 + i % 12])} {say(20)}") for i in range(120)]
+    return problems, docs, spark.createDataFrame(problems, "problem_id string, text string"), spark.createDataFrame(docs, "doc_id int, slice string, text string")
+
+
+def test_ngrams_are_sifted_not_broadcast(spark, monkeypatch):
+    """The driver, which would hold a broadcast, gets no n-grams; the results are those of a brute force."""
+    problems, docs, p, d = sweep_texts(spark)
+    monkeypatch.setattr(audit, "small", lambda df, *_: pytest.fail("marked for broadcast"))
+    by = {n: brute(problems, docs, n) for n in audit.SWEEP}
+    got = {(r["problem_id"], r["n"]): r for r in audit.sweep(p, d).collect()}
+    assert len(got) == len(problems) * len(audit.SWEEP) and sum(r["hits_total"] for r in got.values()) > 100
+    for (k, n), r in got.items():
+        assert (r["hits_total"], r["docs_total"], r["in_s0"]) == (by[n][k][1], by[n][k][2], by[n][k][4])
+    for r in audit.audit(p, d, 13).collect():
+        assert tuple(r)[1:] == by[13][r["problem_id"]]
+
+
+def test_bitmap_keeps_its_keys_and_few_others(spark):
+    keys, others = (spark.range(a, a + 20_000).select(audit.F.xxhash64("id").alias("g1")) for a in (0, 10**6))
+    of = audit.bitmap(keys, 20_000)
+    assert audit.sift(keys, of).count() == 20_000 and audit.sift(others, of).count() < 20_000 * 0.03
+    assert audit.sift(others, audit.bitmap(keys.limit(0), 0)).count() == 0
